@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, url_rules
+from . import mixing, sharding, simhash, substring_index, url_rules
 from ._shared import table
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
+def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_index.dedup_substrings(table(spark, sf_dir, "documents"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -32,7 +37,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_simhash_neardup, op7_histogram_sharding, op8_url_rules, op9_source_mixing)}
+    return {f.__name__: f for f in (op5_substring_index, op6_simhash_neardup, op7_histogram_sharding, op8_url_rules, op9_source_mixing)}
 
 
 _HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -63,6 +68,18 @@ c AS (SELECT d.*, e.source_size, e.target, e.full_, e.target - e.full_ * e.sourc
 SELECT doc_id, size, source_size, target, (size * (full_ + CASE WHEN rest > 0 AND abs(end_ - rest) < abs(end_ - size - rest) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT win.doc_id, win.i + k AS p FROM win JOIN f USING (g), range(0, 13) t(k) WHERE f.m < win.doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT w.doc_id, count(*) AS n_words, count(g.p) AS n_removed, string_agg(w.word, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS kept
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_rules": OP8_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op5_substring_index": OP5_SQL, "op8_url_rules": OP8_SQL, "op9_source_mixing": OP9_SQL}
