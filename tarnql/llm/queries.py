@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, substring_index, url_rules
+from . import cross_polytope, mixing, sharding, simhash, substring_index, topk_search, url_rules
 from ._shared import table
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
+def op1_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k_inner(table(spark, sf_dir, "embeddings"), k=5, scale=256.0)
+
+
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest_cosine(table(spark, sf_dir, "embeddings"), k=5)
+
+
 def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_index.dedup_substrings(table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -37,7 +45,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_substring_index, op6_simhash_neardup, op7_histogram_sharding, op8_url_rules, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_topk_segments, op3_cross_polytope, op5_substring_index, op6_simhash_neardup, op7_histogram_sharding, op8_url_rules, op9_source_mixing)}
 
 
 _HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,6 +76,15 @@ c AS (SELECT d.*, e.source_size, e.target, e.full_, e.target - e.full_ * e.sourc
 SELECT doc_id, size, source_size, target, (size * (full_ + CASE WHEN rest > 0 AND abs(end_ - rest) < abs(end_ - size - rest) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
@@ -82,4 +99,4 @@ FROM d LEFT JOIN k USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_index": OP5_SQL, "op8_url_rules": OP8_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op1_topk_segments": OP1_SQL, "op5_substring_index": OP5_SQL, "op8_url_rules": OP8_SQL, "op9_source_mixing": OP9_SQL}
