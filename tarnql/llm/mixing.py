@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from ._shared import word_count, written
 
 DIGITS = 12  # hexadecimal digits of the key that bins are taken from
+BROADCAST_SOURCES = 50_000  # up to so many sources (some 100 bytes each) are joined by broadcast
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -45,6 +47,16 @@ def _bin(key: Column, bits: int) -> Column:
     return F.shiftright(F.conv(F.substring(key, 1, DIGITS), 16, 10).cast("long"), 4 * DIGITS - bits)
 
 
+def _by_source(rows: DataFrame, per_source: DataFrame, name: str, sources: int) -> DataFrame:
+    """rows with the columns of their source's row in per_source (its source is the column called name); a hot source isn't gathered."""
+    same = rows["source"].eqNullSafe(per_source[name])
+    if sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(per_source), same)
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt_of", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows["source"].eqNullSafe(salted[name]) & (F.col("_salt_of") == F.col("_salt"))).drop("_salt", "_salt_of")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: the id, source, size (words), source_size, target, epochs (how often it is taken) and taken (words).
 
@@ -57,7 +69,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    largest = totals.agg(F.max("rows")).first()[0] or 1
+    largest, sources = totals.agg(F.max("rows"), F.count("*")).first()
+    largest = largest or 1
     bits = min(4 * DIGITS, max(0, largest.bit_length() + 1) // 2)
     targets = source_targets(totals.select("source", "source_size"), weights, share, most)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")
@@ -70,14 +83,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     cut = cut.where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("n") >= F.col("rest"))).select("s", "b", "begin", "rest")
 
     # in the one bin of each source that holds its cut, the last key that is still taken
-    here = rows.join(cut, rows.source.eqNullSafe(cut.s) & (_bin(rows.key, bits) == cut.b))
+    here = _by_source(rows, cut, "s", sources).where(_bin(F.col("key"), bits) == F.col("b"))
     end = F.sum("size").over(W.partitionBy("s").orderBy("key", "size", "id").rowsBetween(W.unboundedPreceding, 0)) + F.col("begin")
     here = here.withColumn("end", end).where(F.abs(F.col("end") - F.col("rest")) < F.abs(F.col("end") - F.col("size") - F.col("rest")))
     last = here.groupBy("s").agg(F.max(F.struct("key", "size")).alias("last"), F.first("b").alias("b"))
     plan = targets.join(last, targets.source.eqNullSafe(last.s), "left").join(cut.select(F.col("s").alias("c"), F.col("b").alias("cut_bin")), targets.source.eqNullSafe(F.col("c")), "left")
     plan = plan.select(F.col("source").alias("of"), "source_size", "target", "full", "last", "cut_bin")
 
-    out = rows.join(plan, rows.source.eqNullSafe(plan.of))
+    out = _by_source(rows, plan, "of", sources)
     more = F.when(F.col("cut_bin").isNull(), False).when(F.col("last").isNull(), _bin(F.col("key"), bits) < F.col("cut_bin")).otherwise(F.struct("key", "size") <= F.col("last"))
     epochs = F.col("full") + more.cast("long")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
