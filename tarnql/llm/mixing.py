@@ -49,48 +49,73 @@ def _bin(key: Column, bits: int) -> Column:
 
 def _by_source(rows: DataFrame, per_source: DataFrame, name: str, sources: int) -> DataFrame:
     """rows with the columns of their source's row in per_source (its source is the column called name); a hot source isn't gathered."""
-    same = rows["source"].eqNullSafe(per_source[name])
+    same = rows["_source"].eqNullSafe(per_source[name])
     if sources <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(per_source), same)
+        return rows.join(F.broadcast(per_source), same).drop(name)
     salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt_of", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, rows["source"].eqNullSafe(salted[name]) & (F.col("_salt_of") == F.col("_salt"))).drop("_salt", "_salt_of")
+    rows = rows.withColumn("_salt_of", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows["_source"].eqNullSafe(salted[name]) & (F.col("_salt_of") == F.col("_salt"))).drop("_salt", "_salt_of", name)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: the id, source, size (words), source_size, target, epochs (how often it is taken) and taken (words).
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": word_count(F.col(text_col)), "_key": key})
 
-    A source's documents are each taken floor(target / source_size) times, and once more in the order of their keys
-    while that keeps the source's words nearest to its target; so the words differ from the target by at most half of
-    one document. Null texts and texts without words have size 0; a null source is a source of its own. Equal keys (repeated rows,
-    null ids) are ordered by size and then count as one step of the order. A source without words has
-    the target 0 and takes its (wordless) documents once. Empty tables give no rows.
+
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, int, int]:
+    """For each source its size, target, whole epochs, and where the cut of its rest is; the bits of a bin, and the number of sources.
+
+    rows: (_source, _size, _key), a written table.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    totals = rows.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     largest, sources = totals.agg(F.max("rows"), F.count("*")).first()
-    largest = largest or 1
-    bits = min(4 * DIGITS, max(0, largest.bit_length() + 1) // 2)
-    targets = source_targets(totals.select("source", "source_size"), weights, share, most)
+    bits = min(4 * DIGITS, max(0, (largest or 1).bit_length() + 1) // 2)
+    targets = source_targets(totals.select(F.col("_source").alias("source"), "source_size"), weights, share, most)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")
     targets = written(targets.withColumn("full", times).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "targets")
 
-    bins = rows.groupBy("source", _bin(F.col("key"), bits).alias("bin")).agg(F.sum("size").alias("n"))
-    ends = F.sum("n").over(W.partitionBy("source").orderBy("bin"))
-    bins = bins.withColumn("begin", ends - F.col("n")).withColumnRenamed("source", "s").withColumnRenamed("bin", "b")
+    bins = rows.groupBy("_source", _bin(F.col("_key"), bits).alias("b")).agg(F.sum("_size").alias("n"))
+    bins = bins.withColumn("begin", F.sum("n").over(W.partitionBy("_source").orderBy("b")) - F.col("n")).withColumnRenamed("_source", "s")
     cut = bins.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")))
     cut = cut.where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("n") >= F.col("rest"))).select("s", "b", "begin", "rest")
+    cut = written(cut, "cuts")  # at most a row for each source
 
     # in the one bin of each source that holds its cut, the last key that is still taken
-    here = _by_source(rows, cut, "s", sources).where(_bin(F.col("key"), bits) == F.col("b"))
-    end = F.sum("size").over(W.partitionBy("s").orderBy("key", "size", "id").rowsBetween(W.unboundedPreceding, 0)) + F.col("begin")
-    here = here.withColumn("end", end).where(F.abs(F.col("end") - F.col("rest")) < F.abs(F.col("end") - F.col("size") - F.col("rest")))
-    last = here.groupBy("s").agg(F.max(F.struct("key", "size")).alias("last"), F.first("b").alias("b"))
-    plan = targets.join(last, targets.source.eqNullSafe(last.s), "left").join(cut.select(F.col("s").alias("c"), F.col("b").alias("cut_bin")), targets.source.eqNullSafe(F.col("c")), "left")
-    plan = plan.select(F.col("source").alias("of"), "source_size", "target", "full", "last", "cut_bin")
-
-    out = _by_source(rows, plan, "of", sources)
-    more = F.when(F.col("cut_bin").isNull(), False).when(F.col("last").isNull(), _bin(F.col("key"), bits) < F.col("cut_bin")).otherwise(F.struct("key", "size") <= F.col("last"))
-    epochs = F.col("full") + more.cast("long")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
+    here = _by_source(rows, cut, "s", sources).where(_bin(F.col("_key"), bits) == F.col("b"))
+    end = F.sum("_size").over(W.partitionBy("_source").orderBy("_key", "_size").rowsBetween(W.unboundedPreceding, 0)) + F.col("begin")
+    here = here.withColumn("end", end).where(F.abs(F.col("end") - F.col("rest")) < F.abs(F.col("end") - F.col("_size") - F.col("rest")))
+    last = here.groupBy(F.col("_source").alias("s")).agg(F.max(F.struct("_key", "_size")).alias("last"))
+    plan = targets.join(last, targets.source.eqNullSafe(last.s), "left").drop("s")
+    plan = plan.join(cut.select("s", F.col("b").alias("cut_bin")), targets.source.eqNullSafe(F.col("s")), "left")
+    columns = [F.col(c).alias(f"_{c}") for c in ("source_size", "target", "full", "last", "cut_bin")]
+    return written(plan.select(F.col("source").alias("_of"), *columns), "plan"), bits, sources
+
+
+def _epochs(bits: int) -> Column:
+    """How often a row with its source's plan is taken."""
+    more = F.when(F.col("_cut_bin").isNull(), False).when(F.col("_last").isNull(), _bin(F.col("_key"), bits) < F.col("_cut_bin")).otherwise(F.struct("_key", "_size") <= F.col("_last"))
+    return F.col("_full") + more.cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: the id, source, size (words), source_size, target, epochs (how often it is taken) and taken (words).
+
+    A source's documents are each taken floor(target / source_size) times, and once more in the order of their keys
+    while that brings the source's words nearer to its target; so the words differ from the target by at most half of
+    one document. Null texts and texts without words have size 0; a null source is a source of its own. Rows of one
+    key (repeated rows, null ids) come in the order of their sizes, and of those with equal sizes all or none are taken. A source without words has
+    the target 0, and its (wordless) documents are taken once. Empty tables give no rows. Other columns are not looked at.
+    """
+    rows = _keyed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "text", "source").drop("text", "source")
+    rows = written(rows, "sizes")
+    plan, bits, sources = _plan(rows, weights, share, most)
+    out = _by_source(rows, plan, "_of", sources).withColumn("epochs", _epochs(bits))
+    return out.select(F.col("id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "epochs", (F.col("_size") * F.col("epochs")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources takes it, with its own columns."""
+    keyed = _keyed(docs, id_col, text_col, source_col)
+    plan, bits, sources = _plan(written(keyed.select("_source", "_size", "_key"), "sizes"), weights, share, most)
+    out = _by_source(keyed, plan, "_of", sources).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _epochs(bits).cast("int"))))
+    return out.select(*docs.columns)

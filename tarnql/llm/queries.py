@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, mixing, sharding, simhash, substring_index, topk_search, url_rules
+from . import cotraining, cross_polytope, mixing, personal_data, pieces, sharding, simhash, substring_index, topk_search, url_rules
 from ._shared import table
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -15,10 +15,21 @@ def op1_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k_inner(table(spark, sf_dir, "embeddings"), k=5, scale=256.0)
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.classify(docs, model).select("doc_id", "p_content", "p_metadata", "p_quality", "keep")
+
+
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest_cosine(table(spark, sf_dir, "embeddings"), k=5)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, check="round_trip").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
+
+
 def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_index.dedup_substrings(table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -44,8 +55,23 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_segments, op3_cross_polytope, op5_substring_index, op6_simhash_neardup, op7_histogram_sharding, op8_url_rules, op9_source_mixing)}
+    ops = (
+        op1_topk_segments, op2_cotraining, op3_cross_polytope, op4_sentencepiece, op5_substring_index,
+        op6_simhash_neardup, op7_histogram_sharding, op8_url_rules, op9_source_mixing, op10_skip_chain_crf, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 _HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -43,16 +43,40 @@ def text_fingerprint(data: bytes | None, shingle: int = 4, seed: int = 42) -> in
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): one row per input row; fp is the fingerprint's 64 bits as a signed long, 0 for null or wordless texts."""
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
+
+
+def word_set_fingerprint(data: bytes | None, seed: int = 42) -> tuple[int, int]:
+    """SimHash of a text's distinct words, and a hash of its words in order; both ignore the case of A-Z."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+    words = data.lower().split() if data else []
+    some = set(words)
+    h = np.fromiter(map(xxh64_intdigest, some, repeat(seed)), "<u8", len(some))
+    return majority(h) if len(h) else 0, xxh3_64_intdigest(b" ".join(words))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = 4, seed: int = 42) -> DataFrame:
+    """(id, fp, key): one row per input row; fp is the fingerprint's 64 bits as a signed long, 0 for null or wordless texts.
+
+    With shingle None fp is that of the distinct words; key is then a hash of the words in order, else null.
+    """
 
     def run(batches):
         for b in batches:
-            fps = [text_fingerprint(x, shingle, seed) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            if shingle is None:
+                both = np.array([word_set_fingerprint(x, seed) for x in texts], np.uint64).reshape(-1, 2).view(np.int64)
+                fp, key = pa.array(both[:, 0]), pa.array(both[:, 1])
+            else:
+                fp, key = pa.array(np.array([text_fingerprint(x, shingle, seed) for x in texts], np.uint64).view(np.int64)), pa.nulls(len(b), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, key], ["id", "fp", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long, key long")
 
 
 def _segments(threshold: int) -> list[list[int]]:
@@ -80,9 +104,9 @@ def chain_keys(threshold: int, length: int) -> list[tuple[int, tuple[int, ...]]]
 
 
 def chain_length(n: int, threshold: int) -> int:
-    """The shortest chain whose keys have about as many bits as n distinct fingerprints need; 3 at least. Any length is exact."""
+    """The shortest chain, 3 at least, whose keys deal n random fingerprints to buckets of some hundred at most. Any length is exact."""
     width = BITS // (threshold + 1)
-    return next((k for k in range(min(3, threshold + 1), threshold + 1) if width + (k - 1) * width / 2 >= np.log2(max(n, 2)) - 2), threshold + 1)
+    return next((k for k in range(min(3, threshold + 1), threshold + 1) if width + (k - 1) * width / 2 >= np.log2(max(n, 2)) - 8), threshold + 1)
 
 
 def _forest(x: np.ndarray, prefix: tuple[int, ...], threshold: int):
@@ -147,7 +171,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprints are folded before anything is paired, so copies never meet each other.
     """
     spark = docs.sparkSession
-    each = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    each = written(fingerprints(docs, id_col, text_col, shingle, seed).drop("key"), "fingerprints")
     known = written(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     links = link_forest(known.select("fp"), threshold, chain_length(known.count(), threshold))
     comp = connected_components(spark, links)
@@ -157,12 +181,78 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return each.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
+
+
+def _shingle_sets(shingle: int):
+    """(id, text) to (id, set): the sorted 64-bit hashes of a text's distinct shingles, packed."""
+
+    def of(data: bytes | None) -> bytes:
+        from xxhash import xxh3_64_intdigest
+
+        words = data.lower().split() if data else []
+        runs = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+        h = np.fromiter(map(xxh3_64_intdigest, runs), np.uint64, len(runs))
+        return np.unique(h).tobytes()
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(x) for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "runs"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int = 7, seed: int = 42) -> DataFrame:
+    """One row per input row with an id: the id and component_id, the smallest id that links can reach.
+
+    Texts of the same words in order are one class. Different texts are candidates if the SimHashes of their distinct words differ
+    in at most threshold bits (pigeonring filtered), and linked if the Jaccard similarity of their sets of shingle words is similarity or more:
+    a word that changes takes shingle shingles along but one word, so texts that are that similar have nearly the same
+    words. Candidates are verified along the links that span each group of them, so a group of n texts costs some n
+    verifications and not n squared; a pair that is only similar by way of a text that fails its own verification
+    may stay apart. Null, empty and wordless texts are one class; of fewer words than a shingle, the whole is one. Rows with a null id take
+    no part. Ids are integers.
+    """
+    spark = docs.sparkSession
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    each = written(fingerprints(rows, "id", "text", None, seed), "fingerprints")
+    texts = written(each.groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "texts")
+    known = written(texts.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
+    links = link_forest(known.select("fp"), threshold, chain_length(known.count(), threshold)).distinct()
+    named = lambda c: known.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}"))
+    links = links.join(named("a"), "a").join(named("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    twins = texts.alias("t").join(known.alias("k"), "fp").where("t.least <> k.least").select(F.col("k.least").alias("a"), F.col("t.least").alias("b"))
+    links = written(links.unionByName(twins).distinct(), "candidates")
+    members = written(links.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "members")
+    some = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    sets = written(rows.join(some, rows.id == F.col("member")).select("id", "text").mapInArrow(_shingle_sets(shingle), "id long, runs binary").dropDuplicates(["id"]), "shingle-sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("runs").alias(f"runs_{c}"))
+    pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "runs_a", "runs_b")
+    similar = pairs.mapInArrow(_similar(similarity), "a long, b long")
+    comp = connected_components(spark, similar)
+    by_key = texts.join(comp, texts.least == comp.node, "left").select("key", F.coalesce("root", "least").alias("component_id"))
+    return each.join(by_key, "key").select(F.col("id").alias(id_col), "component_id")
+
+
 def dedup_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is their component's smallest; one row is kept of several with that id.
+    """The rows of docs, with all their columns, whose id is the smallest of its class, and those with a null id; of several rows with one id one is kept.
 
-    Rows with a null id stay only where their whole component has no id. options as for simhash_components.
+    options as for near_duplicate_classes.
     """
-    comp = simhash_components(docs, id_col, text_col, **options)
-    gone = comp.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(gone.where(F.col(id_col).isNotNull()), id_col, "left_anti").select(*docs.columns)
-    return kept.dropDuplicates([id_col])
+    comp = near_duplicate_classes(docs, id_col, text_col, **options)
+    gone = comp.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
