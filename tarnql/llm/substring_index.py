@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import delete_path, fresh_path, release_shuffles
-from ._words import Words
+from ._words import Words, mix
 
+BUCKET_BYTES = 6_000_000  # of a batch's texts for each bucket, about a million windows
+GROUP_BYTES = 6_000_000  # of texts for each group
 CELL = "bucket int, kind string, doc_id long, n int, h binary, c binary, docs binary"
 
 
@@ -53,17 +55,22 @@ def _cells(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 7, kinds)], [c.split()[0] for c in CELL.split(", ")])
 
 
-def _flags(bucket, doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    """One row for each document with the hashes of its windows that occur earlier."""
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    cuts = _groups(doc)
-    n = len(cuts) - 1
-    ids = doc[cuts[:-1]]
-    blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
-    where = pa.array(np.full(n, bucket, np.int32)) if np.isscalar(bucket) else pa.array(bucket(ids))
-    empty = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays([where, pa.array(["flag"] * n, pa.string()), pa.array(ids), empty(pa.int32()), blobs, empty(pa.binary()), empty(pa.binary())], [c.split()[0] for c in CELL.split(", ")])
+def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _flags(bucket: int | None, groups: int, doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """For each group of documents one row with the hashes of their windows that occur earlier."""
+    group = _group_of(doc, groups)
+    order = np.lexsort((h, doc, group))
+    group, doc, h = group[order], doc[order], h[order]
+    cuts, rows = _groups(group), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        each = _groups(doc[a:b])
+        ids = np.ascontiguousarray(doc[a:b][each[:-1]])
+        g = int(group[a])
+        rows.append((g % (1 << 31) if bucket is None else bucket, "flag", g, int(b - a), _pack(np.ascontiguousarray(h[a:b])), None, _join(_pack(np.diff(each).astype(np.uint32)), _pack(_rising(ids)))))
+    return _cells(rows)
 
 
 def _fold(h: np.ndarray, c: np.ndarray, doc: np.ndarray):
@@ -77,8 +84,8 @@ def _fold(h: np.ndarray, c: np.ndarray, doc: np.ndarray):
     return (h[lead], c[lead], doc[lead]), (h[late], doc[late])
 
 
-def _entries(width: int, bits: int, step: int = 1 << 22):
-    """Documents to cells: for each batch and bucket one of kind batch, and for each document with windows that an earlier one of the batch has, one of kind flag."""
+def _entries(width: int, bits: int, groups: int, step: int = 1 << 22):
+    """Documents to cells: for each step and bucket one of kind batch, and of kind flag what an earlier document of the step has."""
 
     def some(batch):
         words = Words(batch.column(1))
@@ -95,11 +102,11 @@ def _entries(width: int, bits: int, step: int = 1 << 22):
             rows.append((int(bucket[a]), "batch", len(ids), int(b - a), _pack(_rising(h[a:b])), _pack(c[a:b]), _join(_pack(small), _pack(_rising(ids)))))
         yield _cells(rows)
         if len(late_h):
-            yield _flags(lambda ids: (ids % (1 << bits)).astype(np.int32), late_doc, late_h)
+            yield _flags(None, groups, late_doc, late_h)
 
     def run(batches):
         for b in batches:
-            ends = np.cumsum(np.fromiter((len(x) for x in b.column(1).cast(pa.binary()).to_pylist()), np.int64, len(b)))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < len(b):  # about step bytes of text at a time, whole rows
                 e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step)))
@@ -136,32 +143,31 @@ def _run_cell(bucket: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return _cells([(bucket, "run", None, len(h), _pack(_rising(h)), _pack(c), None)])
 
 
-def _merge(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One bucket of a batch against the runs of the index: new run, and flags for entries that are known or late."""
-    out, hs, cs, docs = [], [], [], []
-    for r in left.to_pylist():
-        if r["kind"] == "flag":
-            continue
-        which, ids = _split(r["docs"])
-        ids = np.cumsum(_unpack(ids, np.int64))
-        hs.append(np.cumsum(_unpack(r["h"], np.uint64), dtype=np.uint64))
-        cs.append(_unpack(r["c"], np.uint32))
-        docs.append(ids[_unpack(which, np.uint16 if r["doc_id"] < 1 << 16 else np.uint32)])
-    flags = left.filter(pc.equal(left["kind"], "flag"))
-    if flags.num_rows:
-        out += flags.to_batches()
-    if hs:
-        bucket = next(r for r in left["bucket"].to_pylist())
-        (h, c, doc), (late_h, late_doc) = _fold(*map(np.concatenate, (hs, cs, docs)))
-        known = np.zeros(len(h), bool)
-        for r in right.select(["h", "c"]).to_pylist():
-            known |= _known(h, c, np.cumsum(_unpack(r["h"], np.uint64), dtype=np.uint64), _unpack(r["c"], np.uint32))
-        late_h, late_doc = np.concatenate((late_h, h[known])), np.concatenate((late_doc, doc[known]))
-        if len(late_h):
-            out.append(_flags(bucket, late_doc, late_h))
-        if not known.all():
-            out.append(_run_cell(bucket, h[~known], c[~known]))
-    return pa.Table.from_batches(out or [_cells([])])
+def _merge(groups: int):
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One bucket of a batch against the runs of the index: new run, and flags for entries that are known or late."""
+        out, hs, cs, docs = [], [], [], []
+        for r in left.filter(pc.equal(left["kind"], "batch")).to_pylist():
+            which, ids = _split(r["docs"])
+            ids = np.cumsum(_unpack(ids, np.int64))
+            hs.append(np.cumsum(_unpack(r["h"], np.uint64), dtype=np.uint64))
+            cs.append(_unpack(r["c"], np.uint32))
+            docs.append(ids[_unpack(which, np.uint16 if r["doc_id"] < 1 << 16 else np.uint32)])
+        out += left.filter(pc.equal(left["kind"], "flag")).to_batches()
+        if hs:
+            bucket = left["bucket"][0].as_py()
+            (h, c, doc), (late_h, late_doc) = _fold(*map(np.concatenate, (hs, cs, docs)))
+            known = np.zeros(len(h), bool)
+            for r in right.select(["h", "c"]).to_pylist():
+                known |= _known(h, c, np.cumsum(_unpack(r["h"], np.uint64), dtype=np.uint64), _unpack(r["c"], np.uint32))
+            late_h, late_doc = np.concatenate((late_h, h[known])), np.concatenate((late_doc, doc[known]))
+            if len(late_h):
+                out.append(_flags(bucket, groups, late_doc, late_h))
+            if not known.all():
+                out.append(_run_cell(bucket, h[~known], c[~known]))
+        return pa.Table.from_batches(out or [_cells([])])
+
+    return merge
 
 
 def _compact(cells: pa.Table) -> pa.Table:
@@ -177,10 +183,11 @@ class WindowIndex:
     """Hashes of all windows of width words seen so far, as runs in the shared folder.
 
     buckets is a power of two that is fixed for the index: enough of them that a bucket's entries fit into a task.
+    groups: flags are returned by group of documents, so many that the texts of one fit into a task.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 13, buckets: int = 64, fanout: int = 2):
-        self.spark, self.width, self.fanout = spark, width, fanout
+    def __init__(self, spark: SparkSession, width: int = 13, buckets: int = 64, groups: int = 64, fanout: int = 2):
+        self.spark, self.width, self.groups, self.fanout = spark, width, groups, fanout
         self.bits = max(0, (buckets - 1).bit_length())
         self.buckets, self.runs, self.batches, self.flag_paths = 1 << self.bits, 0, 0, []
         self._create()
@@ -198,24 +205,25 @@ class WindowIndex:
         return self.spark.table(self.name).where("kind = 'run'")
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Takes in a batch (id long, text) and returns its flags (doc_id, h): for each document the hashes of windows that
-        are in the index or in a document of the batch with a smaller id. Rows with a null id take no part.
+        """Takes in a batch (id long, text) and returns its flags (grp, h, docs), packed: for each document of a group the hashes
+        of windows that are in the index or in a document of the batch with a smaller id. Rows with a null id take no part.
 
         last: the index will not be used again, and the batch's own run is not kept.
         """
-        cells = docs.where("id IS NOT NULL").mapInArrow(_entries(self.width, self.bits), CELL)
+        cells = docs.where("id IS NOT NULL").mapInArrow(_entries(self.width, self.bits, self.groups), CELL)
         old = self._history().drop("run")
-        found = cells.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge, CELL)
+        found = cells.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge(self.groups), CELL)
         if last:
             found = found.where("kind = 'flag'")
         self.batches += 1
         self._append(found, self.batches)
-        flags = self.spark.read.schema("bucket int, doc_id long, h binary").parquet(f"{self.path}/kind=flag/run={self.batches}") if self._has(f"kind=flag/run={self.batches}") else self.spark.createDataFrame([], "bucket int, doc_id long, h binary")
+        schema, part = "doc_id long, h binary, docs binary", f"kind=flag/run={self.batches}"
+        flags = self.spark.read.schema(schema).parquet(f"{self.path}/{part}") if self._has(part) else self.spark.createDataFrame([], schema)
         self.runs += 1
         if not last and self.runs >= self.fanout:
             self.compact()
         release_shuffles(self.spark)
-        return flags.select("doc_id", "h")
+        return flags.withColumnRenamed("doc_id", "grp")
 
     def _has(self, part: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
@@ -239,35 +247,40 @@ class WindowIndex:
 
 
 def _remove(width: int):
-    def run(batches):
-        for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            flags = b.column(2).to_pylist()
-            marked = [k for k, f in enumerate(flags) if f]
-            words = Words(b.column(1).take(pa.array(marked, pa.int64())))
-            at, h = words.windows(width, 0)
-            cuts = np.searchsorted(words.doc[at], np.arange(len(marked) + 1)) if len(at) else np.zeros(len(marked) + 1, np.int64)
-            n_words, n_removed, kept = [], [], []
-            place = {k: j for j, k in enumerate(marked)}
-            for k, text in enumerate(texts):
-                parts = (text or b"").split()
-                n_words.append(len(parts))
-                gone = 0
-                if k in place:
-                    j = place[k]
-                    mine = slice(cuts[j], cuts[j + 1])
-                    hit = at[mine][np.isin(h[mine], np.frombuffer(b"".join(flags[k]), np.uint64))] - words.first[j]
-                    edge = np.zeros(len(parts) + 1, np.int64)
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + width, -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    gone = int(len(parts) - stay.sum())
-                    parts = [parts[x] for x in np.flatnonzero(stay)]
-                n_removed.append(gone)
-                kept.append(b" ".join(parts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
-
-    return run
+    def remove(docs: pa.Table, flags: pa.Table) -> pa.Table:
+        """A group of documents without the words that its flags mark."""
+        marks: dict[int, list[np.ndarray]] = {}
+        for r in flags.to_pylist():
+            counts, ids = (_unpack(x, t) for x, t in zip(_split(r["docs"]), (np.uint32, np.int64)))
+            parts = np.split(_unpack(r["h"], np.uint64), np.cumsum(counts)[:-1])
+            for i, part in zip(np.cumsum(ids).tolist(), parts):
+                marks.setdefault(i, []).append(part)
+        docs = docs.select(["id", "text"]).combine_chunks()
+        ids, texts = docs["id"].to_pylist(), docs["text"].cast(pa.binary()).to_pylist()
+        marked = [k for k, i in enumerate(ids) if i in marks]
+        words = Words(pa.array([texts[k] for k in marked], pa.binary()))
+        at, h = words.windows(width, 0)
+        cuts = np.searchsorted(words.doc[at], np.arange(len(marked) + 1))
+        place = {k: j for j, k in enumerate(marked)}
+        n_words, n_removed, kept = [], [], []
+        for k, text in enumerate(texts):
+            parts, gone = (text or b"").split(), 0
+            if k in place:
+                j = place[k]
+                mine = slice(cuts[j], cuts[j + 1])
+                hit = at[mine][np.isin(h[mine], np.concatenate(marks[ids[k]]))] - words.first[j]
+                edge = np.zeros(len(parts) + 1, np.int64)
+                edge[hit] += 1
+                edge[hit + width] -= 1
+                stay = np.cumsum(edge[:-1]) == 0
+                gone = int(len(parts) - stay.sum())
+                parts = [parts[x] for x in np.flatnonzero(stay)]
+            n_words.append(len(parts) + gone)
+            n_removed.append(gone)
+            kept.append(b" ".join(parts))
+        return pa.table({"id": docs["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+
+    return remove
 
 
 def dedup_substrings(docs: DataFrame, width: int = 13, batches: int = 4, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,13 +298,32 @@ def dedup_substrings(docs: DataFrame, width: int = 13, batches: int = 4, buckets
     share = [k / batches for k in range(1, batches)]
     size, cuts = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("id", share, 10000)).first()
     bounds = sorted(set(cuts or []))
-    index = WindowIndex(spark, width, buckets or max(8, (size or 0) // (6_000_000 * batches) + 1))
+    groups = max(16, (size or 0) // GROUP_BYTES)
+    index = WindowIndex(spark, width, buckets or max(16, (size or 0) // (BUCKET_BYTES * batches)), groups)
     flags = None
     for k, (a, b) in enumerate(zip([None, *bounds], [*bounds, None])):
         part = rows.where((F.lit(True) if a is None else F.col("id") > a) & (F.lit(True) if b is None else F.col("id") <= b))
         found = index.add(part, last=k == len(bounds))
         flags = found if flags is None else flags.unionByName(found)
     index.close()
-    marks = flags.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("h").alias("flags"))  # at most eight bytes a window of the document
-    out = rows.join(marks, rows.id == marks.of, "left").select("id", "text", "flags").mapInArrow(_remove(width), "id long, n_words long, n_removed long, kept string")
+    grouped = rows.mapInArrow(_with_group(groups), "grp long, id long, text string")
+    out = grouped.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(_remove(width), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
+
+
+def _with_group(groups: int):
+    def run(batches):
+        for b in batches:
+            ids = pc.fill_null(b.column(0), 0).to_numpy()
+            group = _group_of(ids, groups)
+            lost = np.flatnonzero(b.column(0).is_null().to_numpy(zero_copy_only=False))
+            group[lost] = [hash_text(x) % groups for x in b.column(1).take(pa.array(lost)).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(group), b.column(0), b.column(1)], ["grp", "id", "text"])
+
+    return run
+
+
+def hash_text(data: bytes | None) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(data or b"")
