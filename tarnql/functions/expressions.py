@@ -253,24 +253,25 @@ class _Lowering:
             if sign in ("==", "!="):
                 return F.lit(sign == "!=")
             raise ExpressionError(f"{a.kind} and {b.kind} have no order: {ast.unparse(n)}")
-        x, y = self._days(a, b) or self._days(b, a, True) or (a.column, b.column) if a.kind == b.kind else (_number(a).column, _number(b).column)
+        days = self._days(sign, a, b)
+        if days is not None:
+            return days
+        x, y = (a.column, b.column) if a.kind == b.kind else (_number(a).column, _number(b).column)
         return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[sign]
 
     @staticmethod
-    def _days(a: Value, b: Value, swap: bool = False):
-        """A day and the number of one are compared as days, which reach the scan; so are two days."""
-        if a.day is None:
+    def _days(sign: str, a: Value, b: Value) -> Column | None:
+        """A day and a number are compared as times against the bounds of the number's day, which reach the scan."""
+        if a.day is None and b.day is not None:
+            a, b, sign = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(sign, sign)
+        if a.day is None or not isinstance(b.constant, int):
             return None
-        if b.day is not None:
-            pair = F.to_date(a.day), F.to_date(b.day)
-        elif isinstance(b.constant, int):
-            try:
-                pair = F.to_date(a.day), F.lit(datetime.date(b.constant // 10000, b.constant // 100 % 100, b.constant % 100))
-            except ValueError:
-                return None
-        else:
-            return None
-        return pair[::-1] if swap else pair
+        try:
+            day = datetime.date(b.constant // 10000, b.constant // 100 % 100, b.constant % 100)
+            begin, end = F.lit(day), F.lit(day + datetime.timedelta(1))
+        except (ValueError, OverflowError):
+            return None  # no day has this number: compared as numbers
+        return {"<": a.day < begin, ">=": a.day >= begin, "<=": a.day < end, ">": a.day >= end, "==": (a.day >= begin) & (a.day < end), "!=": (a.day < begin) | (a.day >= end)}[sign]
 
     def _IfExp(self, n):
         test, a, b = self.value(n.test), self.value(n.body), self.value(n.orelse)

@@ -32,7 +32,8 @@ class Join(Operator):
         if shared:
             raise ValueError(f"both inputs have the fields {sorted(shared)}; give one of them another schema")
         super().__init__(Schema(f"join_{left.schema.name}_{right.schema.name}", self.left_fields.schema() + self.right_fields.schema()), [left, right])
-        self.method, self.expr, self.hint, self.keys = method, expr, hint, self._keys(right)
+        self.method, self.expr, self.hint = method, expr, hint
+        self.keys = self._keys(right)
         env = environment(self.schema)
         parts = [] if expr is None else [compile_predicate(c, env) for c in conjuncts(expr) if c != "True"]
         self._conditions = [self._key(a) == self._key(b) for a, b in self.keys] + parts
