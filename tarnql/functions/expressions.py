@@ -107,7 +107,8 @@ def _double(v: Value) -> Column:
 
 
 def _floor_mod(a: Column, b: Column) -> Column:
-    return ((a % b) + b) % b
+    m = a % b
+    return F.when((m != 0) & ((m < 0) != (b < 0)), m + b).otherwise(m)
 
 
 _BINARY = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*"}
@@ -173,7 +174,7 @@ class _Lowering:
         if op is ast.Mod:
             return Value(_floor_mod(x, y), kind, risky=risky)
         if op is ast.FloorDiv:
-            whole = F.call_function("div", x - _floor_mod(x, y), y) if both else F.floor(x / y).cast("double")
+            whole = F.call_function("div", x - _floor_mod(x, y), y) if both else F.rint((x - _floor_mod(x, y)) / y)
             return Value(whole, kind, risky=risky)
         if op is ast.Pow:
             if both and isinstance(b.constant, int) and 0 <= b.constant <= 64:
