@@ -76,3 +76,13 @@ class Words:
             h *= base
             h += w[k : k + n]
         return at, mix(h[at])
+
+
+def slices(batch: pa.RecordBatch, column: int, step: int):
+    """A batch in slices of whole rows with about step bytes of text in a column, so that arrays made of them stay small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(batch):
+        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step)))
+        yield batch.slice(a, e - a)
+        a = e

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._words import SPACE, Words
+from ._words import SPACE, Words, slices
 
 WORDS, SHAPES = 1 << 13, 1 << 9
 DIM = WORDS + SHAPES + 1  # the last feature: a word that repeats the one before
@@ -26,6 +26,7 @@ SCALE = 30.0
 SOURCES, LANGS, BINS = 64, 16, 12
 STATS = 10
 META = SOURCES + LANGS + STATS * BINS
+STEP = 1 << 21  # bytes of text that are worked on at a time
 LABELLED, POOL = 6000, 6000  # bounds of the samples that the views are trained on; all documents are scored
 FOLDS = (0.7, 1.0)  # of the labelled sample, what is learnt from; the rest calibrates
 
@@ -220,7 +221,7 @@ def _sample_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Labels and features of a bounded sample, in the order of its hashes; texts stay on the executors."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 2, STEP)):
             row, number = content_features(b.column(2))
             words = np.maximum(np.bincount(row[number < WORDS], minlength=len(b)), 1)
             key, count = np.unique(row * DIM + number, return_counts=True)
@@ -277,7 +278,7 @@ def classify(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -
     n = len(docs.columns)
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, n, STEP)):
             a, m = shared.value.views(*(b.column(n + k) for k in range(4)))
             p = logistic(shared.value.combined(a, m))
             more = [pa.array(logistic(a)), pa.array(logistic(m)), pa.array(p), pa.array(p >= threshold)]

@@ -19,11 +19,10 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from ._words import mix
+from ._words import mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -302,16 +301,6 @@ def loaded(model: bytes) -> Pieces:
     return _loaded[key]
 
 
-def _chunks(batch: pa.RecordBatch, column: int, step: int):
-    """Slices of whole rows of about step bytes of text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(batch):
-        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step)))
-        yield batch.slice(a, e - a)
-        a = e
-
-
 def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids_col: str = "ids", check: str | None = None) -> DataFrame:
     """docs with the column ids_col: the piece ids of each row's text as array<int> (a column of that name is replaced).
 
@@ -328,7 +317,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
     def run(batches):
         pieces = loaded(model.value)
         for batch in batches:
-            for b in _chunks(batch, at, 1 << 23):
+            for b in slices(batch, at, 1 << 23):
                 texts = b.column(at).cast(pa.string()).to_pylist()
                 packed = pieces.encode_packed(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
