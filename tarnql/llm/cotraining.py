@@ -258,8 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     known = ids.join(judged, "id").select("id", h, (F.col("q") >= 0.5).cast("int").alias("y")).distinct().orderBy("h", "id").limit(labelled)
     rest = ids.join(judged, "id", "left_anti").select("id", h, F.lit(-1).alias("y")).distinct().orderBy("h", "id").limit(pool)
     chosen = F.broadcast(known.unionByName(rest))  # at most labelled + pool rows
-    sample = docs.withColumn("_id", F.col(id_col)).join(chosen, F.col("_id") == chosen.id)
-    sample = sample.select("h", "y", *_columns(docs))
+    sample = docs.select(F.col(id_col).alias("of"), *_columns(docs)).join(chosen, F.col("of") == F.col("id"))
+    sample = sample.select("h", "y", "text", "source", "lang", "n_chars")
     y, buckets, stats, content = _sample_features(sample)
     return co_train(content, buckets, stats, y, rounds) if len(y) else None
 

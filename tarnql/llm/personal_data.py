@@ -250,7 +250,7 @@ def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     some = docs.where(F.col(id_col).isNotNull() & F.regexp_like(text, F.lit("[0-9@]"))).select(F.col(id_col).alias("_id"))
     some = some.select("_id", F.xxhash64("_id").alias("_h")).distinct().orderBy("_h", "_id").limit(sample)
-    texts = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col("_h").alias("h"), text.alias("text"))
+    texts = docs.select(F.col(id_col).alias("_of"), text.alias("text")).join(F.broadcast(some), F.col("_of") == F.col("_id")).select(F.col("_h").alias("h"), "text")
 
     def run(batches):
         for b in batches:

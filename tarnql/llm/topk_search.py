@@ -59,10 +59,12 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, levels=LEVELS):
     """For each query the ids and scores of its k best vectors with other ids than its own."""
+    if not q.shape[1]:
+        q, v = np.zeros((len(q), 1), np.int64), np.zeros((len(v), 1), np.int64)
     top = lambda x: int(max(x.max(initial=0), -x.min(initial=0)))
-    if top(q) * top(v) * max(1, q.shape[1]) >= EXACT:  # beyond doubles: Python's integers, all pairs
+    if top(q) * top(v) * q.shape[1] >= EXACT:  # beyond doubles: Python's integers, all pairs
         for i, a in zip(q_ids, q.astype(object)):
-            score = np.array([max(-WIDE, min(WIDE, x)) for x in (v.astype(object) @ a).tolist()] if q.shape[1] else [0] * len(v), np.int64)
+            score = np.array([max(-WIDE, min(WIDE, x)) for x in (v.astype(object) @ a).tolist()], np.int64)
             other = np.flatnonzero(v_ids != i)
             at = other[best_rows(score[other], v_ids[other], k)] if len(other) else other
             yield i, v_ids[at], score[at]
