@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..functions.expressions import compile_expression, compile_predicate, environment
 from ..functions.folds import keys_of
 from ..functions.types import Schema, Type
+from ..functions.udf import RowFunction, compile_function, python_column
 from .base import Operator
 
 
@@ -44,7 +45,8 @@ def checked(value, kind: Type, field: str):
 
 
 class Project(Operator):
-    """Columns computed from expressions, as {name: (expression, type)}; duplicates stay."""
+    """Columns computed from expressions, as {name: (expression, type)}; duplicates stay. Instead of an expression there may be a
+    function of the row, which is compiled, or a RowFunction, which is not."""
 
     def __init__(self, source: Operator, columns: Mapping[str, tuple[str, str]]):
         if not columns:
@@ -52,7 +54,12 @@ class Project(Operator):
         super().__init__(Schema(f"project_{source.schema.name}", [(c, t) for c, (_, t) in columns.items()]), [source])
         self.columns = dict(columns)
         env = environment(source.schema)
-        self._columns = [checked(compile_expression(e, env), t, c) for (c, (e, _)), t in zip(columns.items(), self.schema.types)]
+        self._columns = []
+        for (c, (e, _)), t in zip(columns.items(), self.schema.types):
+            if isinstance(e, RowFunction):
+                self._columns.append(python_column(e, source.schema, t).alias(c))
+            else:
+                self._columns.append(checked(compile_function(e, source.schema) if callable(e) else compile_expression(e, env), t, c))
 
     def with_inputs(self, inputs):
         return Project(inputs[0], self.columns)
@@ -61,7 +68,7 @@ class Project(Operator):
         return df.select(*self._columns)
 
     def arguments(self) -> str:
-        return f"projections={dict((c, e) for c, (e, _) in self.columns.items())}"
+        return f"projections={dict((c, getattr(e, '__name__', e)) for c, (e, _) in self.columns.items())}"
 
 
 class UnionAll(Operator):

@@ -1,7 +1,7 @@
 import pytest
 
 from oracle import assert_same, connection
-from tarnql import queries
+from tarnql import queries, synthetic
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,6 +16,11 @@ def test_query_against_sql(spark, con, name):
     assert_same(queries.queries()[name](spark, SF), con, queries.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", sorted(synthetic.queries()))
+def test_synthetic_query_against_sql(spark, con, name):
+    assert_same(synthetic.queries()[name](spark, SF), con, synthetic.oracle_sql()[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
