@@ -1,7 +1,7 @@
 """The database: relations kept as Parquet below one folder, with a catalog that survives a restart.
 
-A relation is a folder of immutable Parquet versions; the catalog file names the version in force, so readers keep the version they
-began with, and a change is one rewrite followed by one small write. Relations may also be attached: files or DataFrames that are
+A relation is a folder of Parquet versions; the catalog file names the one in force. A change is one rewrite followed by one small
+write, and the version before stays until the next change, for readers that began with it. Relations may also be attached: files or DataFrames that are
 kept elsewhere. Indexes are metadata: a lookup is an equality that Parquet's statistics prune, on rows that may be
 clustered by the key.
 """
@@ -143,12 +143,12 @@ class Database:
     def _replace(self, name: str, rows: DataFrame) -> None:
         if name in self._attached:
             raise ValueError(f"{name!r} is attached, and not changed from here")
-        old, version = self._relations[name]["version"], f"v-{uuid.uuid4().hex}"
+        entry, version = self._relations[name], f"v-{uuid.uuid4().hex}"
         rows.write.parquet(self._path(name, version).toString())
-        self._relations[name]["version"] = version
+        oldest, entry["previous"], entry["version"] = entry.get("previous"), entry["version"], version
         self.checkpoint()
-        if old is not None:
-            path = self._path(name, old)
+        if oldest is not None:
+            path = self._path(name, oldest)
             self._fs(path).delete(path, True)
 
     def _stored(self, schema: Schema, rows) -> DataFrame:
