@@ -317,7 +317,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
     def run(batches):
         pieces = loaded(model.value)
         for batch in batches:
-            for b in slices(batch, at, 1 << 23):
+            for b in slices(batch, at, 1 << 22):
                 texts = b.column(at).cast(pa.string()).to_pylist()
                 packed = pieces.encode_packed(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
