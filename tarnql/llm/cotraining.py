@@ -27,7 +27,7 @@ SOURCES, LANGS, BINS = 64, 16, 12
 STATS = 10
 META = SOURCES + LANGS + STATS * BINS
 STEP = 1 << 21  # bytes of text that are worked on at a time
-LABELLED, POOL = 6000, 6000  # bounds of the samples that the views are trained on; all documents are scored
+LABELLED, POOL = 4000, 4000  # bounds of the samples that the views are trained on; all documents are scored
 FOLDS = (0.7, 1.0)  # of the labelled sample, what is learnt from; the rest calibrates
 
 LOWER_, UPPER_, DIGIT_ = 1, 2, 3
