@@ -215,7 +215,7 @@ def _similar(similarity: float):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int = 7, seed: int = 42) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int = 9, seed: int = 42) -> DataFrame:
     """One row per input row with an id: the id and component_id, the smallest id that links can reach.
 
     Texts of the same words in order are one class. Different texts are candidates if the SimHashes of their distinct words differ
