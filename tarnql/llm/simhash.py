@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._shared import written
+from .similar_sets import similar_components
 
 BITS = 64
 BLOCK = 1 << 15
@@ -181,70 +182,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return each.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
-
-
-def _shingle_sets(shingle: int):
-    """(id, text) to (id, set): the sorted 64-bit hashes of a text's distinct shingles, packed."""
-
-    def of(data: bytes | None) -> bytes:
-        from xxhash import xxh3_64_intdigest
-
-        words = data.lower().split() if data else []
-        runs = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
-        h = np.fromiter(map(xxh3_64_intdigest, runs), np.uint64, len(runs))
-        return np.unique(h).tobytes()
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(x) for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "runs"])
-
-    return run
-
-
-def _similar(similarity: float):
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return run
-
-
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int = 9, seed: int = 42) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row with an id: the id and component_id, the smallest id that links can reach.
 
-    Texts of the same words in order are one class. Different texts are candidates if the SimHashes of their distinct words differ
-    in at most threshold bits (pigeonring filtered), and linked if the Jaccard similarity of their sets of shingle words is similarity or more:
-    a word that changes takes shingle shingles along but one word, so texts that are that similar have nearly the same
-    words. Candidates are verified along the links that span each group of them, so a group of n texts costs some n
-    verifications and not n squared; a pair that is only similar by way of a text that fails its own verification
-    may stay apart. Null, empty and wordless texts are one class; of fewer words than a shingle, the whole is one. Rows with a null id take
+    Two texts are linked if the Jaccard similarity of their sets of shingle words is similarity or more. The links are exact, for texts of
+    any length: candidates come from prefix filtering on the sets, and each is verified unless other links connect it already
+    (similar_sets). Null, empty and wordless texts are one class; of fewer words than a shingle, the whole is one. Rows with a null id take
     no part. Ids are integers.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    each = written(fingerprints(rows, "id", "text", None, seed), "fingerprints")
-    texts = written(each.groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "texts")
-    known = written(texts.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
-    links = link_forest(known.select("fp"), threshold, chain_length(known.count(), threshold)).distinct()
-    named = lambda c: known.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}"))
-    links = links.join(named("a"), "a").join(named("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    twins = texts.alias("t").join(known.alias("k"), "fp").where("t.least <> k.least").select(F.col("k.least").alias("a"), F.col("t.least").alias("b"))
-    links = written(links.unionByName(twins).distinct(), "candidates")
-    members = written(links.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "members")
-    some = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    sets = written(rows.join(some, rows.id == F.col("member")).select("id", "text").mapInArrow(_shingle_sets(shingle), "id long, runs binary").dropDuplicates(["id"]), "shingle-sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("runs").alias(f"runs_{c}"))
-    pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "runs_a", "runs_b")
-    similar = pairs.mapInArrow(_similar(similarity), "a long, b long")
-    comp = connected_components(spark, similar)
-    by_key = texts.join(comp, texts.least == comp.node, "left").select("key", F.coalesce("root", "least").alias("component_id"))
-    return each.join(by_key, "key").select(F.col("id").alias(id_col), "component_id")
+    each, classes = similar_components(_identified(docs, id_col, text_col), shingle, similarity)
+    return each.join(classes, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def dedup_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

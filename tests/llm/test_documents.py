@@ -173,6 +173,43 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*set(want.values()), None], key=repr)
 
 
+def jaccard_components(rows):
+    sets = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(words(t.lower())) for i, t in rows}
+    return components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def test_copies_of_one_text_meet_behind_a_reordered_one(spark):
+    """A large group: each copy is similar to one text only, and the smallest id has its words in another order."""
+    rng = np.random.default_rng(3)
+    base = [f"s{k}" for k in range(400)]
+    rows = [(1, " ".join(rng.permutation(base)))]
+    for i in range(2, 3002):
+        w = list(base)
+        for at in rng.choice(40, 8, replace=False):
+            w[10 * at + 2] = f"edit{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows.append((5000, " ".join(base)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    assert all(len(s & sets[-1]) >= 0.8 * len(s | sets[-1]) for s in sets[1:]) and not any(len(s & sets[1]) >= 0.8 * len(s | sets[1]) for s in sets[2:200])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {1: 1} | {i: 2 for i, _ in rows[1:]}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_buckets_are_searched_to_the_end(spark, seed):
+    """Many texts share one passage; those that are similar besides are scattered over it."""
+    rng = np.random.default_rng(seed)
+    common, rows = " ".join(f"c{k}" for k in range(60)), []
+    for g in range(60):
+        own = [f"g{g}w{k}" for k in range(int(rng.integers(3, 20)))]
+        for k in range(int(rng.integers(1, 5))):
+            w = list(own)
+            w[int(rng.integers(len(w)))] = f"new{g}x{k}"
+            rows.append((int(rng.integers(10)) + 10 * len(rows), f"{common} {' '.join(w)}"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == jaccard_components(rows)
+
+
 def check_shards(rows, got, shards):
     assert len(rows) == len(got)
     text = defaultdict(list)
