@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._shared import written
-from .similar_sets import similar_components
+from .similar_sets import similar_components, with_set_key
 
 BITS = 64
 BLOCK = 1 << 15
@@ -198,12 +198,18 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def dedup_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its class, and those with a null id; of several rows with one id one is kept.
+def dedup_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their class (near_duplicate_classes), and those with a null id.
 
-    options as for near_duplicate_classes.
+    Of rows of one class with one id one is kept; rows with one id whose texts are of different classes are judged apart.
     """
-    comp = near_duplicate_classes(docs, id_col, text_col, **options)
-    gone = comp.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    each, classes = similar_components(_identified(docs, id_col, text_col), shingle, similarity)
+    rows = written(each.join(classes, "key").select("id", "key", "root", "component_id"), "classes")
+    gone = rows.where("component_id < id").select(F.col("id").alias("_gone"), F.col("key").alias("_of")).distinct()
+    keyed = with_set_key(docs, text_col, shingle, "_set_key")
+    kept = keyed.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_set_key") == F.col("_of")), "left_anti")
+    several = rows.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("id")
+    marked = rows.join(several, "id").select(F.col("id").alias("_id"), F.col("key").alias("_of"), F.col("root").alias("_root")).distinct()
+    named = kept.where(F.col(id_col).isNotNull()).join(marked, (F.col(id_col) == F.col("_id")) & (F.col("_set_key") == F.col("_of")), "left")
+    one = named.dropDuplicates([id_col, "_root"]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._graph import connected_components
 from ._shared import written
@@ -58,6 +59,17 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.array([xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], np.uint64).view(np.int64)
 
 
+def with_set_key(docs: DataFrame, text_col: str, width: int, name: str) -> DataFrame:
+    """docs and the set key of each row's text."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in (x for batch in batches for x in slices(batch, at, STEP)):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(set_keys(*shingle_sets(b.column(at), width)))], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
     """Shingles that OFTEN or more of about SAMPLE texts hold, the rarest first."""
     share = min(1.0, SAMPLE / max(1, rows.count()))

@@ -210,6 +210,24 @@ def test_large_buckets_are_searched_to_the_end(spark, seed):
     assert got == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("low, high", [(6, 12), (12, 20)])
+def test_short_near_copies(spark, low, high):
+    """In a text of few words one other word turns many bits of a fingerprint."""
+    rng, rows = np.random.default_rng(low), []
+    for g in range(150):
+        w = [f"g{g}w{k}" for k in range(int(rng.integers(low, high)))]
+        rows += [(3 * g, " ".join(w)), (3 * g + 1, " ".join([*w, f"more{g}"])), (3 * g + 2, " ".join([f"one{g}", *w[1:]]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_components(rows)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, one), (5, one + " end"), (5, two), (5, two + " end"), (5, three), (7, three)]
+    kept = simhash.dedup_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "a"), (5, "b"), (5, "c")]
+
+
 def check_shards(rows, got, shards):
     assert len(rows) == len(got)
     text = defaultdict(list)
