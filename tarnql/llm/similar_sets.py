@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._graph import connected_components
-from ._shared import written
+from ._shared import release_shuffles, written
 from ._words import Words, slices
 
 STEP = 1 << 21  # bytes of text that are worked on at a time
 SAMPLE, OFTEN, LAST = 16_000, 8, 1 << 17  # texts that the order is taken from; from so many on, a shingle comes late; at most so many do
 SMALL, GROWTH = 16, 16
+WIDE, LONG = 256, 64  # bytes of parities that a set of more shingles than LONG has besides
 BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
 FLUSH = 1 << 18
 ENTRY = "h long, p int, key long, n int, parity long"
@@ -86,7 +87,7 @@ def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def described(rows: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """(id, text) to (id, key, n, parity, prefix): the set's hash, size, parities of its hash classes, and first shingles in the order."""
+    """(id, text) to (id, key, n, parity, wide, prefix): the set's hash, size, parities of its hash classes (few, and many if it is large), and first shingles in the order."""
     order = np.argsort(late)
     shared = rows.sparkSession.sparkContext.broadcast((late[order], (order + 1).astype(np.int32)))
 
@@ -99,6 +100,12 @@ def described(rows: DataFrame, width: int, similarity: float, late: np.ndarray)
             parity = np.zeros(len(n), np.uint64)
             if len(h):
                 parity[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first[:-1][n > 0])
+            long = np.flatnonzero(n > LONG)
+            wide = np.zeros(len(long) * WIDE, np.uint8)
+            x, at = h[n[doc] > LONG], np.repeat(np.arange(len(long)), n[long])
+            np.bitwise_xor.at(wide, at * WIDE + ((x >> np.uint64(3)) % np.uint64(WIDE)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
+            ends = np.concatenate(([0], np.cumsum(n > LONG))).astype(np.int32) * WIDE
+            wide = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(wide)])
             rank = np.zeros(len(h), np.int32)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -109,9 +116,9 @@ def described(rows: DataFrame, width: int, similarity: float, late: np.ndarray)
             x = x[np.arange(len(h)) - np.repeat(first[:-1], n) < np.repeat(take, n)]
             cuts = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), pa.array(parity.view(np.int64)), prefix], ["id", "key", "n", "parity", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), pa.array(parity.view(np.int64)), wide, prefix], ["id", "key", "n", "parity", "wide", "prefix"])
 
-    return rows.mapInArrow(run, "id long, key long, n int, parity long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, key long, n int, parity long, wide binary, prefix array<long>")
 
 
 def _possible(p, n, parity, i, j, similarity: float) -> np.ndarray:
@@ -223,13 +230,34 @@ def _similar(similarity: float):
     return run
 
 
+def _not_far(similarity: float):
+    """Drops pairs of large sets that the parities of many hash classes show to differ in more shingles than similar ones can."""
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            both = [(x, y) if x and y else (b"", b"") for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            apart = np.array([(int.from_bytes(x) ^ int.from_bytes(y)).bit_count() for x, y in both], np.int64)
+            yield b.filter(pa.array(apart <= n * (1 - similarity) / (1 + similarity) + 1e-6)).select(["a", "b"])
+
+    return run
+
+
+def near_enough(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    return both.mapInArrow(_not_far(similarity), "a long, b long")
+
+
 def verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs of keys whose sets are similar; a key's set is made of a row of the least id that has it."""
+    release_shuffles(rows.sparkSession)
+    pairs = written(near_enough(texts, pairs, similarity), "near-enough")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = written(texts.join(keys, "key").select(F.col("least").alias("member")).distinct(), "members")
     some = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     sets = rows.join(some, rows.id == F.col("member")).select("id", "text").mapInArrow(_sets(width), "key long, runs binary")
-    sets = written(sets.dropDuplicates(["key"]), "shingle-sets")
+    sets = sets.dropDuplicates(["key"])  # not written: both sides of the join read the one exchange
     side = lambda c: sets.select(F.col("key").alias(c), F.col("runs").alias(f"runs_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "runs_a", "runs_b")
     return written(both.mapInArrow(_similar(similarity), "a long, b long"), "similar")
@@ -240,7 +268,7 @@ def similar_components(rows: DataFrame, width: int, similarity: float) -> tuple[
     similar pairs connect, component_id is the smallest id of theirs."""
     spark = rows.sparkSession
     each = written(described(rows, width, similarity, frequent_shingles(rows, width)), "described")
-    texts = each.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
+    texts = each.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")))
     texts = written(texts, "texts")
     entries = texts.select("key", "n", "parity", F.posexplode("prefix").alias("p", "h")).select("h", "p", "key", "n", "parity")
     dealt = lambda df: df.repartition("h").sortWithinPartitions("h", "p", "key")
