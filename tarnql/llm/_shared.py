@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local session gets one of its own;
+    on a cluster that is an error, since executors would write to their own disks."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnql-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarnql-"))
     return sc.getCheckpointDir()
 
 
@@ -34,11 +39,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def forget(df: DataFrame | None) -> None:
-    """Deletes the files behind a written() table that nothing reads any more."""
-    path = getattr(df, "_tarnql_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the files behind written() tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tarnql_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that df does not have, whatever their case: the given ones, with underscores before them as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -1,17 +1,13 @@
 """SimHash near-duplicate detection with pigeonring filtering.
 
-A 64-bit fingerprint is cut into t + 1 consecutive segments for t differing bits. If two fingerprints differ in at
-most t bits, then on the ring of segments some start has, for every length l, no more than l * t / (t + 1) differing
-bits in its first l segments, so l - 1 in whole bits (pigeonring principle). Each segment after the first is halved:
-of the 2j halves that follow the first segment at least j agree, for each j. A chain key is therefore the first
-segment and a set of l - 1 agreeing halves with that property; two linked fingerprints share such a key, whatever
-the length of chain, so the length only decides how selective the keys are. Within a key the cumulative differences
-along the chain are held against their budgets before the full Hamming distance is taken.
+Fingerprints of at most t differing bits share a chain key (_pigeonring). They meet in its bucket, and links that span
+what they form come out. The operator on fingerprints has the relation of the fingerprints alone; near copies of texts are
+found the same way and then verified on the sets of their shingles (similar_sets).
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._shared import written
+from ._pigeonring import BITS, buckets, chain_keys, chain_length, signed, within_chain
+from ._shared import unused, written
 from .similar_sets import similar_components, with_set_key
 
-BITS = 64
 BLOCK = 1 << 15
 
 
@@ -44,70 +40,17 @@ def text_fingerprint(data: bytes | None, shingle: int = 4, seed: int = 42) -> in
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def majority(h: np.ndarray) -> int:
-    """The bits that over half of the hashes have."""
-    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
-
-
-def word_set_fingerprint(data: bytes | None, seed: int = 42) -> tuple[int, int]:
-    """SimHash of a text's distinct words, and a hash of its words in order; both ignore the case of A-Z."""
-    from xxhash import xxh3_64_intdigest, xxh64_intdigest
-
-    words = data.lower().split() if data else []
-    some = set(words)
-    h = np.fromiter(map(xxh64_intdigest, some, repeat(seed)), "<u8", len(some))
-    return majority(h) if len(h) else 0, xxh3_64_intdigest(b" ".join(words))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = 4, seed: int = 42) -> DataFrame:
-    """(id, fp, key): one row per input row; fp is the fingerprint's 64 bits as a signed long, 0 for null or wordless texts.
-
-    With shingle None fp is that of the distinct words; key is then a hash of the words in order, else null.
-    """
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(id, fp): one row per input row; fp is the fingerprint's 64 bits as a signed long, 0 for null or wordless texts."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            if shingle is None:
-                both = np.array([word_set_fingerprint(x, seed) for x in texts], np.uint64).reshape(-1, 2).view(np.int64)
-                fp, key = pa.array(both[:, 0]), pa.array(both[:, 1])
-            else:
-                fp, key = pa.array(np.array([text_fingerprint(x, shingle, seed) for x in texts], np.uint64).view(np.int64)), pa.nulls(len(b), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, key], ["id", "fp", "key"])
+            fp = np.array([text_fingerprint(x, shingle, seed) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long, key long")
-
-
-def _segments(threshold: int) -> list[list[int]]:
-    """Bit masks: for each of threshold + 1 segments its whole and its two halves."""
-    m, out, at = threshold + 1, [], 0
-    for i in range(m):
-        width = BITS // m + (i < BITS % m)
-        low = width - width // 2
-        mask = lambda a, n: ((1 << n) - 1) << a
-        out.append([mask(at, width), mask(at, low), mask(at + low, width - low)])
-        at += width
-    return out
-
-
-def chain_keys(threshold: int, length: int) -> list[tuple[int, tuple[int, ...]]]:
-    """For each kind of key its mask, and the masks of the chain's first 1, 2, .. length segments."""
-    seg, m = _segments(threshold), threshold + 1
-    sets = [s for s in combinations(range(2 * (length - 1)), length - 1) if all(sum(x < 2 * j for x in s) >= j for j in range(1, length))]
-    keys = []
-    for i in range(m):
-        chain = [seg[(i + k) % m] for k in range(length)]
-        prefix = tuple(sum(c[0] for c in chain[: k + 1]) for k in range(length))
-        keys += [(chain[0][0] + sum(chain[1 + x // 2][1 + x % 2] for x in s), prefix) for s in sets]
-    return keys
-
-
-def chain_length(n: int, threshold: int) -> int:
-    """The shortest chain, 3 at least, whose keys deal n random fingerprints to buckets of some hundred at most. Any length is exact."""
-    width = BITS // (threshold + 1)
-    return next((k for k in range(min(3, threshold + 1), threshold + 1) if width + (k - 1) * width / 2 >= np.log2(max(n, 2)) - 8), threshold + 1)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def _forest(x: np.ndarray, prefix: tuple[int, ...], threshold: int):
@@ -118,9 +61,7 @@ def _forest(x: np.ndarray, prefix: tuple[int, ...], threshold: int):
         while front and len(rest):
             a = front.pop()
             d = rest ^ a
-            ok = np.ones(len(d), bool)
-            for n, mask in enumerate(prefix[1:], 2):
-                ok &= np.bitwise_count(d & np.uint64(mask)) <= n * threshold // (threshold + 1)
+            ok = within_chain(d, prefix, threshold)
             ok[ok] = np.bitwise_count(d[ok]) <= threshold
             for b in rest[ok]:
                 yield a, b
@@ -135,27 +76,19 @@ def link_forest(fps: DataFrame, threshold: int, length: int) -> DataFrame:
     most one pair less than it has values comes out of it.
     """
     keys = chain_keys(threshold, length)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key")) for k, (mask, _) in enumerate(keys)])
     rows = fps.select("fp", F.explode(entries).alias("e")).select("e.kind", "e.key", "fp")
 
     def run(batches):
-        held = None
-        for b in batches:
-            now = [b.column(k).to_numpy() for k in range(3)]
-            now = [np.concatenate(x) for x in zip(held, now)] if held else now
-            if not len(now[0]):
-                continue
-            cuts = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
-            held = [x[cuts[-1] if len(cuts) else 0 :] for x in now]
-            yield found(now, np.concatenate(([0], cuts)))
-        if held:
-            yield found(held, np.array([0, len(held[0])]))
-
-    def found(now, cuts):
-        fp, pairs = now[2].view(np.uint64), []
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            pairs += _forest(fp[cuts[k] : cuts[k + 1]], keys[now[0][cuts[k]]][1], threshold)
+        pairs = []
+        for kind, _, fp in buckets(batches, 2):
+            pairs += _forest(fp.view(np.uint64), keys[kind[0]][1], threshold)
+            if len(pairs) >= 1 << 16:
+                yield found(pairs)
+                pairs = []
+        yield found(pairs)
+
+    def found(pairs):
         p = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
@@ -172,7 +105,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprints are folded before anything is paired, so copies never meet each other.
     """
     spark = docs.sparkSession
-    each = written(fingerprints(docs, id_col, text_col, shingle, seed).drop("key"), "fingerprints")
+    each = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     known = written(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     links = link_forest(known.select("fp"), threshold, chain_length(known.count(), threshold))
     comp = connected_components(spark, links)
@@ -185,10 +118,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row with an id: the id and component_id, the smallest id that links can reach.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingle words is similarity or more. The links are exact, for texts of
-    any length: candidates come from prefix filtering on the sets, and each is verified unless other links connect it already
-    (similar_sets). Null, empty and wordless texts are one class; of fewer words than a shingle, the whole is one. Rows with a null id take
-    no part. Ids are integers.
+    Two texts are linked if they are candidates by their fingerprints (similar_sets) and the Jaccard similarity of their sets of shingle words is similarity or
+    more. Every candidate is verified unless other links connect it already. For texts of fewer than 50 shingles candidates are all similar
+    ones; of longer similar texts some few in a hundred differ in more words than the fingerprints allow and may stay apart (README). Null, empty and
+    wordless texts are one class; of fewer words than a shingle, the whole is one. Rows with a null id take no part. Ids are integers.
     """
     each, classes = similar_components(_identified(docs, id_col, text_col), shingle, similarity)
     return each.join(classes, "key").select(F.col("id").alias(id_col), "component_id")
@@ -201,15 +134,17 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, whose id is the smallest of their class (near_duplicate_classes), and those with a null id.
 
-    Of rows of one class with one id one is kept; rows with one id whose texts are of different classes are judged apart.
+    Of rows of one class with one id one is kept, whichever comes first; rows with one id whose texts are of different classes are judged
+    apart. An empty table gives no rows. Columns of any name pass through.
     """
     each, classes = similar_components(_identified(docs, id_col, text_col), shingle, similarity)
     rows = written(each.join(classes, "key").select("id", "key", "root", "component_id"), "classes")
-    gone = rows.where("component_id < id").select(F.col("id").alias("_gone"), F.col("key").alias("_of")).distinct()
-    keyed = with_set_key(docs, text_col, shingle, "_set_key")
-    kept = keyed.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_set_key") == F.col("_of")), "left_anti")
+    key, i, k, r = unused(docs, "_set_key", "_id", "_of", "_root")
+    gone = rows.where("component_id < id").select(F.col("id").alias(i), F.col("key").alias(k)).distinct()
+    same = (F.col(id_col).cast("long") == F.col(i)) & (F.col(key) == F.col(k))
+    kept = with_set_key(docs, text_col, shingle, key).join(gone, same, "left_anti")
     several = rows.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("id")
-    marked = rows.join(several, "id").select(F.col("id").alias("_id"), F.col("key").alias("_of"), F.col("root").alias("_root")).distinct()
-    named = kept.where(F.col(id_col).isNotNull()).join(marked, (F.col(id_col) == F.col("_id")) & (F.col("_set_key") == F.col("_of")), "left")
-    one = named.dropDuplicates([id_col, "_root"]).select(*docs.columns)
+    marked = rows.join(several, "id").select(F.col("id").alias(i), F.col("key").alias(k), F.col("root").alias(r)).distinct()
+    named = kept.where(F.col(id_col).isNotNull()).join(marked, same, "left")
+    one = named.dropDuplicates([id_col, r]).select(*docs.columns)
     return one.unionByName(docs.where(F.col(id_col).isNull()))

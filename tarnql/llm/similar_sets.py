@@ -1,12 +1,16 @@
-"""Links between all texts whose sets of shingles have a given Jaccard similarity, without a bound on what is missed.
-
-Prefix filtering: with the shingles of all sets in one order, two sets of similarity t or more share one of the first
-n - ceil(t * n) + 1 shingles of each. Any order is right; shingles that many texts of a sample hold come last, so that
-lines that are everywhere bring few texts together. Texts that share such a shingle form a bucket, ordered by the
-shingle's position in each. A pair is held against exact bounds on its overlap (sizes, positions, and the parities of
-64 hash classes) and then verified on the whole sets. A small bucket gives all its pairs at once. A large one gives
-those of its first member, which has the fewest rare shingles; then, for as long as its members are in several
-components, those of the next 15, 240, .. members, until each pair is verified or is in one component.
+"""Texts whose sets of shingles have a given Jaccard similarity, found by fingerprints and verified on the whole sets.
+
+Each distinct set has a SimHash of the text's distinct words and one of its shingles. Sets are candidates if the first differ in
+at most WORD_BITS bits (found by pigeonring chain keys) and the second in at most SET_BITS: a word that changes takes
+several shingles along but one word, so that similar texts nearly agree in their words, while texts that only have their vocabulary in
+common are far apart in their shingles. For sets of few shingles, whose SimHashes a single word turns, the
+fingerprint is exact instead: 64 parities, one for each class of shingle hashes, differ in no more bits than the sets differ in shingles, which
+is at most WORD_BITS for similar sets of fewer than 90 shingles together.
+
+A pair of candidates belongs to the first of its common chain keys. In a key's bucket, members with few candidates of their own are verified
+against all of these. The others are dense: they are verified against centres first, which are close to the majority of the
+bucket; then, as long as candidates are in different components, against 15 centres more, 240, and so on, after a bound
+by many parities has left out what cannot be similar. No candidate pair stays unverified unless verified links connect it.
 """
 
 from __future__ import annotations
@@ -19,26 +23,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._graph import connected_components
-from ._shared import release_shuffles, written
+from ._pigeonring import buckets, chain_keys, chain_length, first_meeting, signed
+from ._shared import forget, release_shuffles, written
 from ._words import Words, slices
 
 STEP = 1 << 21  # bytes of text that are worked on at a time
-SAMPLE, OFTEN, LAST = 16_000, 8, 1 << 17  # texts that the order is taken from; from so many on, a shingle comes late; at most so many do
-SMALL, GROWTH = 16, 16
-WIDE, LONG = 256, 64  # bytes of parities that a set of more shingles than LONG has besides
+WORD_BITS, SET_BITS = 9, 20
+EXACT, SHORT = 50, 40  # sets of fewer shingles than EXACT have exact fingerprints, of fewer than SHORT no others
+WIDE = 256  # bytes of parities that a set of SHORT shingles or more has besides
+FEW, GROWTH = 4, 16  # candidates that a member is verified against at once; by how much centres grow
+ROWS, WHOLE = 512, 8192  # members that are compared at a time; larger buckets have centres only
 BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
-FLUSH = 1 << 18
-ENTRY = "h long, p int, key long, n int, parity long"
+WORDS_OF, PARITY_OF = 0, 1
+ENTRY = "bucket long, tag long, code long, other long, key long"
+ENTRY_TYPES = [pa.int64()] * 5
 
 
-def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, one text after the other, and where each text's begin (one more at the end).
 
     A text of fewer words than width is one shingle; null and wordless texts have none. The case of A-Z is ignored.
     """
     from xxhash import xxh3_64_intdigest
 
-    w = Words(pc.ascii_lower(texts.cast(pa.string())))
+    w = words or Words(pc.ascii_lower(texts.cast(pa.string())))
     at, h = w.windows(width, 0)
     doc = w.doc[at]
     count = np.diff(w.first)
@@ -46,11 +54,15 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = [xxh3_64_intdigest(b" ".join(w.data[w.start[k] : w.end[k]].tobytes() for k in range(w.first[d], w.first[d + 1]))) for d in short.tolist()]
         doc, h = np.concatenate((doc, short)), np.concatenate((h, np.array(whole, np.uint64)))
+    return _distinct(doc, h, len(texts))
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
+    return h[new], np.searchsorted(doc[new], np.arange(rows + 1))
 
 
 def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -60,6 +72,17 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.array([xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], np.uint64).view(np.int64)
 
 
+def majorities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of each set: the bits that over half of its hashes have; of an empty one 0."""
+    n, out = np.diff(first), np.zeros(len(first) - 1, np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int64)
+        out[some] = np.packbits(2 * counts > n[some, None], axis=1, bitorder="little").reshape(-1).view("<u8")
+    return out
+
+
 def with_set_key(docs: DataFrame, text_col: str, width: int, name: str) -> DataFrame:
     """docs and the set key of each row's text."""
     at = docs.columns.index(text_col)
@@ -71,140 +94,164 @@ def with_set_key(docs: DataFrame, text_col: str, width: int, name: str) -> DataF
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
-def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Shingles that OFTEN or more of about SAMPLE texts hold, the rarest first."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def described(rows: DataFrame, width: int) -> DataFrame:
+    """(id, text) to (id, key, n, words, set, parity, wide): the set's hash and size, both SimHashes, parities of few hash classes and of many."""
 
     def run(batches):
         for b in (x for batch in batches for x in slices(batch, 1, STEP)):
-            h, n = np.unique(shingle_sets(b.column(1), width)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    got = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    got = got.orderBy(F.desc("n"), "h").limit(LAST).toArrow()
-    return got["h"].to_numpy().view(np.uint64)[::-1]
-
-
-def described(rows: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """(id, text) to (id, key, n, parity, wide, prefix): the set's hash, size, parities of its hash classes (few, and many if it is large), and first shingles in the order."""
-    order = np.argsort(late)
-    shared = rows.sparkSession.sparkContext.broadcast((late[order], (order + 1).astype(np.int32)))
-
-    def run(batches):
-        known, ranks = shared.value
-        for b in (x for batch in batches for x in slices(batch, 1, STEP)):
-            h, first = shingle_sets(b.column(1), width)
+            w = Words(pc.ascii_lower(b.column(1).cast(pa.string())))
+            h, first = shingle_sets(b.column(1), width, w)
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
             parity = np.zeros(len(n), np.uint64)
             if len(h):
                 parity[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first[:-1][n > 0])
-            long = np.flatnonzero(n > LONG)
+            long = np.flatnonzero(n >= SHORT)
             wide = np.zeros(len(long) * WIDE, np.uint8)
-            x, at = h[n[doc] > LONG], np.repeat(np.arange(len(long)), n[long])
+            x, at = h[n[doc] >= SHORT], np.repeat(np.arange(len(long)), n[long])
             np.bitwise_xor.at(wide, at * WIDE + ((x >> np.uint64(3)) % np.uint64(WIDE)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
-            ends = np.concatenate(([0], np.cumsum(n > LONG))).astype(np.int32) * WIDE
+            ends = np.concatenate(([0], np.cumsum(n >= SHORT))).astype(np.int32) * WIDE
             wide = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(wide)])
-            rank = np.zeros(len(h), np.int32)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                rank = np.where(known[at] == h, ranks[at], 0)
-            x = h[np.lexsort((h, rank, doc))]
-            take = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-            take = np.minimum(take, n)
-            x = x[np.arange(len(h)) - np.repeat(first[:-1], n) < np.repeat(take, n)]
-            cuts = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), pa.array(parity.view(np.int64)), wide, prefix], ["id", "key", "n", "parity", "wide", "prefix"])
-
-    return rows.mapInArrow(run, "id long, key long, n int, parity long, wide binary, prefix array<long>")
-
-
-def _possible(p, n, parity, i, j, similarity: float) -> np.ndarray:
-    """Whether the entries i and j of one bucket can have the similarity: bounds on their overlap that hold for any sets."""
-    least = similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-6  # what they must have in common
-    most = np.minimum(p[i], p[j]) + 1 + np.minimum(n[i] - p[i], n[j] - p[j]) - 1
-    apart = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64))  # unsigned: else the bits of absolute values are counted
-    return (np.minimum(n[i], n[j]) >= least) & (most >= least) & (apart <= n[i].astype(np.int64) + n[j] - 2 * least)
-
-
-def _buckets(batches):
-    """Columns of sorted batches, cut where the first changes; a bucket is never split."""
-    held = None
-    for b in batches:
-        now = [b.column(k).to_numpy() for k in range(b.num_columns)]
-        now = [np.concatenate(x) for x in zip(held, now)] if held else now
-        if not len(now[0]):
-            continue
-        cuts = np.flatnonzero(np.diff(now[0]) != 0) + 1
-        last = cuts[-1] if len(cuts) else 0
-        held = [x[last:] for x in now]
-        if last:
-            yield [x[:last] for x in now], np.concatenate(([0], cuts))
-    if held:
-        yield held, np.array([0, len(held[0])])
-
-
-def _of_center(j: int, a: int, e: int, p, n, parity, similarity: float, label=None) -> np.ndarray:
-    i = np.arange(a + j + 1, e)
-    if label is not None:
-        i = i[label[i] != label[a + j]]
-    return i[_possible(p, n, parity, i, a + j, similarity)]
-
-
-def _first_round(similarity: float):
-    """Entries to candidate pairs (a, b) and, as they are, the entries of large buckets."""
+            numbers = [x.view(np.int64) for x in (majorities(*_distinct(w.doc, w.hashes(0), len(n))), majorities(h, first), parity)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), *map(pa.array, numbers), wide], ["id", "key", "n", "words", "set", "parity", "wide"])
+
+    return rows.mapInArrow(run, "id long, key long, n int, words long, set long, parity long, wide binary")
+
+
+def entries(texts: DataFrame, keys: list) -> DataFrame:
+    """Each set in the buckets of its chain keys; tag holds its size, the fingerprint's kind and the key's."""
+
+    def of(family: int, code: str, rows: DataFrame) -> DataFrame:
+        tag = lambda k: F.col("n").cast("long") * 512 + (family * 256 + k)
+        each = [F.struct(F.xxhash64(F.lit(family * 256 + k), F.col(code).bitwiseAND(F.lit(signed(mask)))).alias("bucket"), tag(k).alias("tag")) for k, (mask, _) in enumerate(keys)]
+        return rows.select(F.explode(F.array(*each)).alias("e"), F.col(code).alias("code"), F.col("set").alias("other"), "key").select("e.bucket", "e.tag", "code", "other", "key")
+
+    return of(WORDS_OF, "words", texts.where(F.col("n") >= SHORT)).unionByName(of(PARITY_OF, "parity", texts.where(F.col("n") < EXACT)))
+
+
+class Bucket:
+    """Members of one bucket, and which of them are candidates that belong to it."""
+
+    def __init__(self, columns, keys: list, similarity: float):
+        self.tag, self.code, self.other, self.key = columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64), columns[3]
+        self.n, self.keys, self.apart = self.tag // 512, keys, (1 - similarity) / (1 + similarity)
+        self.least = similarity / (1 + similarity)
+        self.family = int(self.tag[0]) % 512 // 256
+        self.kinds = self.tag % 512  # hashes of two kinds of key may agree: then they share a bucket, but no candidates
+
+    def candidates(self, rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows and of that are candidates; both ways if both are on either side, and none with itself."""
+        d = self.code[rows, None] ^ self.code[None, of]
+        i, j = np.nonzero(np.bitwise_count(d) <= WORD_BITS)
+        d, i, j = d[i, j], rows[i], of[j]
+        both = self.n[i] + self.n[j]
+        ok = (i != j) & (self.kinds[i] == self.kinds[j]) & (np.minimum(self.n[i], self.n[j]) >= self.least * both - 1e-6)
+        words = self.kinds[i] < 256
+        ok &= np.where(words, np.bitwise_count(self.other[i] ^ self.other[j]) <= SET_BITS, np.bitwise_count(d) <= both * self.apart + 1e-6)
+        d, i, j = d[ok], i[ok], j[ok]
+        own = np.zeros(len(d), bool)
+        for kind in np.unique(self.kinds[i]) if len(i) else ():
+            of_kind = np.flatnonzero(self.kinds[i] == kind)
+            own[of_kind] = first_meeting(d[of_kind], self.keys, int(kind) % 256, WORD_BITS)
+        return i[own], j[own]
+
+    def central(self, some: np.ndarray) -> np.ndarray:
+        """Members, those nearest to the majority of their shingles' SimHashes first."""
+        bits = np.unpackbits(self.other[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(some), bitorder="little").view("<u8")[0]
+        return some[np.lexsort((self.key[some], np.bitwise_count(self.other[some] ^ middle)))]
+
+
+def _first_round(keys: list, similarity: float):
+    """Entries to candidate pairs (a, b), and the entries of dense members with their places among the centres."""
+
+    def one(h, *columns):
+        bucket, size = Bucket(columns, keys, similarity), len(h)
+        every, degree = np.arange(size), np.zeros(size, np.int64)
+        pairs, dense = [], every
+        if size <= WHOLE:
+            found = [bucket.candidates(every[a : a + ROWS], every) for a in range(0, size, ROWS)]
+            for i, _ in found:
+                degree += np.bincount(i, minlength=size)
+            for i, j in found:
+                now = (i < j) & (np.minimum(degree[i], degree[j]) <= FEW)
+                pairs.append((i[now], j[now]))
+            dense = np.flatnonzero(degree > FEW)
+        order = bucket.central(dense) if len(dense) else dense
+        left = order
+        while len(left) > 1:
+            _, near = bucket.candidates(left[:1], left[1:])
+            pairs.append((np.full(len(near), left[0]), near))
+            left = left[1:][~np.isin(left[1:], near)]
+        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (every[:0], every[:0])
+        return bucket.key[i], bucket.key[j], [x[order] for x in (h, *columns)], np.arange(len(order))
 
     def run(batches):
-        for (h, p, key, n, parity), cuts in _buckets(batches):
-            size = np.repeat(np.diff(cuts), np.diff(cuts))
-            pairs = [np.zeros((0, 2), np.int64)]
-            few = np.flatnonzero((size > 1) & (size <= SMALL))
-            for d in range(1, SMALL):
-                i, j = few[:-d], few[d:]
-                same = h[i] == h[j]
-                i, j = i[same], j[same]
-                ok = _possible(p, n, parity, i, j, similarity)
-                pairs.append(np.stack((key[i[ok]], key[j[ok]]), 1))
-            for c in np.flatnonzero(np.diff(cuts) > SMALL):
-                i = _of_center(0, cuts[c], cuts[c + 1], p, n, parity, similarity)
-                pairs.append(np.stack((np.full(len(i), key[cuts[c]]), key[i]), 1))
-            yield _found(pairs, [x[size > SMALL] for x in (h, p, key, n, parity)])
+        for group in _gathered(one(*x) for x in buckets(batches)):
+            a, b, members, at = zip(*group)
+            yield _found(np.concatenate(a), np.concatenate(b), [np.concatenate(x) for x in zip(*members)], np.concatenate(at))
 
     return run
 
 
-def _later_round(similarity: float, lo: int, hi: int):
+def _gathered(found, most: int = 1 << 16):
+    """Lists of results with about so many rows together."""
+    held, rows = [], 0
+    for x in found:
+        held.append(x)
+        rows += len(x[0]) + len(x[3])
+        if rows >= most:
+            yield held
+            held, rows = [], 0
+    if held:
+        yield held
+
+
+def _found(a: np.ndarray, b: np.ndarray, members: list, at: np.ndarray) -> pa.RecordBatch:
+    m, k = len(a), len(at)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    columns = [pa.concat_arrays([pa.nulls(m, t), pa.array(x, t)]) for x, t in zip([*members, at], [*ENTRY_TYPES, pa.int32()])]
+    pairs = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(k, pa.int64())]) for x in (low, high)]
+    return pa.RecordBatch.from_arrays([*columns, *pairs], [*(c.split()[0] for c in ENTRY.split(", ")), "at", "a", "b"])
+
+
+def _later_round(keys: list, similarity: float, lo: int, hi: int):
+    """Labelled entries of dense members to the pairs of the centres from lo to hi with candidates in other components, and the
+    entries that have candidates in other components beyond these."""
+
+    def one(h, tag, code, other, key, at, label, wide):
+        names, which = np.unique(label, return_inverse=True)
+        none = (key[:0], key[:0], [x[:0] for x in (h, tag, code, other, key)], at[:0])
+        if len(names) < 2:
+            return none
+        bucket = Bucket((tag, code, other, key), keys, similarity)
+        most = np.bincount(which).argmax()
+        some = np.flatnonzero(which != most)  # of candidates in different components one at least is among these
+        every, pairs, open_ = np.arange(len(key)), [], np.zeros(len(key), bool)
+        for a in range(0, len(some), ROWS):
+            i, j = bucket.candidates(some[a : a + ROWS], every)
+            ok = (label[i] != label[j]) & (np.maximum(at[i], at[j]) >= lo)
+            i, j = i[ok], j[ok]
+            first = np.minimum(at[i], at[j])
+            now, later = (first >= lo) & (first < hi), first >= hi
+            far = np.ones(len(i), bool)
+            check = np.flatnonzero(now)
+            far[check] = [x and y and (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() > m for x, y, m in zip(wide[i[check]], wide[j[check]], ((bucket.n[i[check]] + bucket.n[j[check]]) * bucket.apart + 1e-6).tolist())]
+            pairs.append((i[now & ~far], j[now & ~far]))
+            open_[i[later]] = open_[j[later]] = True
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        once = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        kept = np.flatnonzero(open_)
+        return key[once[:, 0]], key[once[:, 1]], [x[kept] for x in (h, tag, code, other, key)], at[kept]
+
     def run(batches):
-        for (h, p, key, n, parity, label), cuts in _buckets(batches):
-            pairs, held = [], 0
-            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                for j in range(lo, min(hi, e - a)):
-                    i = _of_center(j, a, e, p, n, parity, similarity, label)
-                    pairs.append(np.stack((np.full(len(i), key[a + j]), key[i]), 1))
-                    held += len(i)
-                    if held >= FLUSH:
-                        yield _found(pairs)
-                        pairs, held = [], 0
-            if pairs:
-                yield _found(pairs)
+        for group in _gathered(one(*x) for x in buckets(batches)):
+            a, b, members, at = zip(*group)
+            yield _found(np.concatenate(a), np.concatenate(b), [np.concatenate(x) for x in zip(*members)], np.concatenate(at))
 
     return run
 
 
-def _found(pairs: list, entries: list | None = None) -> pa.RecordBatch:
-    x = np.concatenate(pairs)
-    x = np.unique(np.sort(x, 1), axis=0) if len(x) else x
-    two = [pa.array(x[:, 0]), pa.array(x[:, 1])]
-    if entries is None:
-        return pa.RecordBatch.from_arrays(two, ["a", "b"])
-    m, k = len(x), len(entries[0])
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-    columns = [pa.concat_arrays([pa.nulls(m, t), pa.array(e, t)]) for e, t in zip(entries, kinds)]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.concat_arrays([c, pa.nulls(k, pa.int64())]) for c in two)], ["h", "p", "key", "n", "parity", "a", "b"])
-
-
 def _sets(width: int):
     """(id, text) to (key, runs): the shingle hashes, packed."""
 
@@ -231,7 +278,7 @@ def _similar(similarity: float):
 
 
 def _not_far(similarity: float):
-    """Drops pairs of large sets that the parities of many hash classes show to differ in more shingles than similar ones can."""
+    """Drops pairs that the parities of many hash classes show to differ in more shingles than similar sets can."""
 
     def run(batches):
         for b in batches:
@@ -243,51 +290,50 @@ def _not_far(similarity: float):
     return run
 
 
-def near_enough(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
-    return both.mapInArrow(_not_far(similarity), "a long, b long")
-
-
 def verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs of keys whose sets are similar; a key's set is made of a row of the least id that has it."""
+    """The pairs of keys whose sets are similar, a written table; a key's set is made of a row of the least id that has it."""
     release_shuffles(rows.sparkSession)
-    pairs = written(near_enough(texts, pairs, similarity), "near-enough")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    near = written(both.mapInArrow(_not_far(similarity), "a long, b long"), "near-enough")
+    keys = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = written(texts.join(keys, "key").select(F.col("least").alias("member")).distinct(), "members")
     some = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     sets = rows.join(some, rows.id == F.col("member")).select("id", "text").mapInArrow(_sets(width), "key long, runs binary")
     sets = sets.dropDuplicates(["key"])  # not written: both sides of the join read the one exchange
     side = lambda c: sets.select(F.col("key").alias(c), F.col("runs").alias(f"runs_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "runs_a", "runs_b")
-    return written(both.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "runs_a", "runs_b")
+    similar = written(both.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    forget(near, members)
+    return similar
 
 
 def similar_components(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """rows: (id, text), ids not null. (id, key) of each row, and (key, root, component_id) of each key: keys of one root are what
     similar pairs connect, component_id is the smallest id of theirs."""
     spark = rows.sparkSession
-    each = written(described(rows, width, similarity, frequent_shingles(rows, width)), "described")
-    texts = each.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")))
-    texts = written(texts, "texts")
-    entries = texts.select("key", "n", "parity", F.posexplode("prefix").alias("p", "h")).select("h", "p", "key", "n", "parity")
-    dealt = lambda df: df.repartition("h").sortWithinPartitions("h", "p", "key")
-    found = written(dealt(entries).mapInArrow(_first_round(similarity), f"{ENTRY}, a long, b long"), "buckets")
-    large = found.where("h is not null").select("h", "p", "key", "n", "parity")
-    pairs = written(found.where("a is not null").select("a", "b").distinct(), "candidates")
-    links, lo, hi = verified(rows, texts, pairs, width, similarity), 1, GROWTH
+    each = written(described(rows, width), "described")
+    numbers = ("n", "words", "set", "parity", "wide")
+    texts = written(each.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in numbers)), "texts")
+    keys = chain_keys(WORD_BITS, chain_length(texts.count(), WORD_BITS))
+    dealt = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)
+    found = f"{ENTRY}, at int, a long, b long"
+    fields = [c.split()[0] for c in ENTRY.split(", ")]
+    now = written(dealt(entries(texts, keys), "key").mapInArrow(_first_round(keys, similarity), found), "candidates")
+    links, lo, hi = None, 0, GROWTH
     while True:
+        more = verified(rows, texts, now.where("a is not null").select("a", "b").distinct(), width, similarity)
+        links = more if links is None else links.unionByName(more)
         comp = written(connected_components(spark, links), "components")
-        labelled = large.join(comp, large.key == comp.node, "left").select("h", "p", "key", "n", "parity", F.coalesce("root", "key").alias("label"))
-        labelled = written(labelled, "large-buckets")
-        still = labelled.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-        still = written(still.where((F.col("x") != F.col("y")) & (F.col("size") > lo + 1)).select("h"), "open-buckets")
-        if still.isEmpty():
+        dense = now.where("at is not null").select(*fields, "at")
+        if dense.isEmpty():
             break
-        kept = labelled.join(still, "h", "left_semi")
-        pairs = written(dealt(kept).mapInArrow(_later_round(similarity, lo, hi), "a long, b long").distinct(), "candidates")
-        links = links.unionByName(verified(rows, texts, pairs, width, similarity))
-        lo, hi = hi, hi * GROWTH
+        labelled = dense.join(comp, dense.key == comp.node, "left").select(*fields, "at", F.coalesce("root", "key").alias("label"))
+        labelled = labelled.join(texts.select("key", "wide"), "key").select(*fields, "at", "label", "wide")
+        later = written(dealt(labelled, "at").mapInArrow(_later_round(keys, similarity, lo, hi), found), "candidates")
+        forget(now, comp)
+        now, lo, hi = later, hi, hi * GROWTH
+    forget(now)
     rooted = texts.join(comp, texts.key == comp.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return each.select("id", "key"), rooted.join(named, "root").select("key", "root", "component_id")
