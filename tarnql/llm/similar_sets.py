@@ -32,6 +32,7 @@ WORD_BITS, SET_BITS = 9, 20
 EXACT, SHORT = 50, 40  # sets of fewer shingles than EXACT have exact fingerprints, of fewer than SHORT no others
 WIDE = 256  # bytes of parities that a set of SHORT shingles or more has besides
 FEW, GROWTH = 4, 16  # candidates that a member is verified against at once; by how much centres grow
+BITS_AT_ONCE = 1 << 14
 ROWS, WHOLE = 512, 8192  # members that are compared at a time; larger buckets have centres only
 BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
 WORDS_OF, PARITY_OF = 0, 1
@@ -74,13 +75,15 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def majorities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SimHash of each set: the bits that over half of its hashes have; of an empty one 0."""
-    n, out = np.diff(first), np.zeros(len(first) - 1, np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * counts > n[some, None], axis=1, bitorder="little").reshape(-1).view("<u8")
-    return out
+    rows = len(first) - 1
+    counts, n = np.zeros((rows, 64), np.int64), np.diff(first)
+    for a in range(0, len(h), BITS_AT_ONCE):
+        part = h[a : a + BITS_AT_ONCE]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        doc = np.searchsorted(first, np.arange(a, a + len(part)), "right") - 1
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1))
+        counts[doc[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").reshape(-1).view("<u8") if rows else np.zeros(0, np.uint64)
 
 
 def with_set_key(docs: DataFrame, text_col: str, width: int, name: str) -> DataFrame:
