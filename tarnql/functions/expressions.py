@@ -12,7 +12,7 @@ import builtins
 import datetime
 import math
 import types
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -56,6 +56,22 @@ def conjuncts(expression: str) -> list[str]:
     return split(ast.parse(expression.strip(), mode="eval").body)
 
 
+def separable(expression: str, env: Mapping[str, Value], before: Sequence[str] = ()) -> list[str]:
+    """The conjuncts of an expression such that each may be applied on its own, in any order and place.
+
+    A conjunct that can fail on some rows is kept together with all that come before it, those of before first, so that it is still only evaluated
+    where they hold. The operands True are left out.
+    """
+    out, guard = [], list(before)
+    for part in conjuncts(expression):
+        if part == "True":
+            continue
+        risky = guard and compile_expression(part, env).risky
+        out.append(" and ".join(f"({x})" for x in [*guard, part]) if risky else part)
+        guard.append(part)
+    return out
+
+
 def is_attribute(expression: str) -> bool:
     return isinstance(ast.parse(expression.strip(), mode="eval").body, ast.Name)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..functions.expressions import attributes, column_of, compile_predicate, conjuncts, environment
+from ..functions.expressions import attributes, column_of, compile_predicate, environment, separable
 from ..functions.types import Schema
 from .base import Operator
 from .scan import TableScan
@@ -20,7 +20,9 @@ class Join(Operator):
 
     left_schema and right_schema name an input's fields anew by position. hash takes key schemas (compared by position, under
     the fields' names in the two inputs) and hash functions, which only place rows and are checked but not used; indexed takes the left key's
-    schema and an index of the right input, a scan. All matches are found by either. With expr "True" a join is a cross product.
+    schema and an index of the right input, a scan. All matches are found by either. Days are equal as days, whatever the time of day
+    behind them. With expr "True" a join is a cross product. An operand of and that can fail is only evaluated for pairs that
+    meet the keys and the operands before it, wherever Catalyst evaluates it.
     """
 
     def __init__(self, left: Operator, right: Operator, method: str = "nested-loops", expr: str | None = None, left_schema: Schema | None = None, right_schema: Schema | None = None, left_key: Schema | None = None, right_key: Schema | None = None, left_hash: str | None = None, right_hash: str | None = None, index_id=None, index_key: Callable | None = None, hint: str | None = None):
@@ -35,9 +37,8 @@ class Join(Operator):
         self.method, self.expr, self.hint = method, expr, hint
         self.keys = self._keys(right)
         env = environment(self.schema)
-        parts = [] if expr is None else [compile_predicate(c, env) for c in conjuncts(expr) if c != "True"]
-        self._conditions = [self._key(a) == self._key(b) for a, b in self.keys] + parts
-        self.parts = [] if expr is None else [c for c in conjuncts(expr) if c != "True"]
+        self.parts = [] if expr is None else separable(expr, env, [f"{a} == {b}" for a, b in self.keys])
+        self._conditions = [self._key(a) == self._key(b) for a, b in self.keys] + [compile_predicate(c, env) for c in self.parts]
 
     @staticmethod
     def _named(source: Operator, schema: Schema | None) -> Schema:
@@ -49,7 +50,7 @@ class Join(Operator):
 
     def _key(self, field: str):
         v = column_of(field, self.schema.type_of(field).kind)
-        return v.column if v.day is None else v.day
+        return v.column if v.day is None else v.day.cast("date")
 
     def _keys(self, right: Operator) -> list[tuple[str, str]]:
         o = self.options
@@ -77,6 +78,10 @@ class Join(Operator):
             raise ValueError(f"no key fields {lost}")
         return pairs
 
+    def all_conditions(self) -> list[str]:
+        """What pairs must meet, as expressions that may be applied in any order and place."""
+        return [f"{a} == {b}" for a, b in self.keys] + self.parts
+
     def with_inputs(self, inputs):
         return Join(*inputs, **self.options)
 
@@ -104,7 +109,17 @@ class Join(Operator):
         return f"method={self.method}" + (f",keys={keys}" if keys else "") + (f",expr='{self.expr}'" if self.expr else "")
 
 
-def all_of(parts) -> str:
-    return " and ".join(f"({p})" for p in parts) or "True"
+def conditions_below(node: Operator) -> list[str]:
+    """The conditions that the rows of node, a tree of filters and joins, meet, as far as they are about its fields by their names."""
+    from .rows import Select
 
+    if isinstance(node, Select):
+        return conditions_below(node.inputs[0]) + node.parts
+    if isinstance(node, Join):
+        kept = [i for i, names in zip(node.inputs, (node.left_fields, node.right_fields)) if names.fields == i.schema.fields]
+        return [c for i in kept for c in conditions_below(i)] + node.all_conditions()
+    return []
 
+
+def all_of(parts) -> str:
+    return " and ".join(f"({p})" for p in parts) or "True"

@@ -6,20 +6,25 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
-from ..functions.expressions import compile_expression, compile_predicate, environment
+from ..functions.expressions import compile_expression, compile_predicate, environment, separable
 from ..functions.folds import keys_of
 from ..functions.types import Schema, Type
 from ..functions.udf import RowFunction, compile_function, python_column
 from .base import Operator
+from .join import all_of, conditions_below
 
 
 class Select(Operator):
-    """The rows for which an expression is true."""
+    """The rows for which an expression is true. Above joins an operand that can fail is guarded by their conditions as well, since
+    Catalyst moves filters below joins."""
 
     def __init__(self, source: Operator, expression: str):
         super().__init__(source.schema, [source])
         self.expression = expression
-        self._column = compile_predicate(expression, environment(source.schema))
+        env = environment(source.schema)
+        compile_predicate(expression, env)  # what cannot be lowered is an error here
+        self.parts = separable(expression, env, conditions_below(source))
+        self._column = compile_predicate(all_of(self.parts), env)
 
     def with_inputs(self, inputs):
         return Select(inputs[0], self.expression)
@@ -92,7 +97,7 @@ class Sort(Operator):
     def __init__(self, source: Operator, key: Callable, label: str = "", ascending: bool = False):
         super().__init__(source.schema, [source])
         self.key, self.label, self.ascending = key, label, ascending
-        self._keys = [v.column if v.day is None else v.day for v in keys_of(key, source.schema)]
+        self._keys = [v.column if v.day is None else v.day.cast("date") for v in keys_of(key, source.schema)]
 
     def with_inputs(self, inputs):
         return Sort(inputs[0], self.key, self.label, self.ascending)

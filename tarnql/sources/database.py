@@ -8,7 +8,9 @@ clustered by the key.
 
 from __future__ import annotations
 
+import datetime
 import json
+import re
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
@@ -32,6 +34,7 @@ class Database:
         self._relations: dict[str, dict] = {}
         self._attached: dict[str, tuple[Schema, DataFrame]] = {}
         self._indexes: dict[str, dict] = {}
+        self._number = 0  # of the catalog file that was read or written last
         if folder is not None:
             self.restore()
 
@@ -44,25 +47,40 @@ class Database:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def checkpoint(self) -> None:
-        """Writes the catalog: a new file, renamed over the old one."""
+        """Writes the catalog as a new file of the next number, which counts from its renaming on; the file before stays, older ones go.
+        A crash at any point leaves a complete catalog: the new one or the one before. If another session has taken the number, that is an error."""
         if self.folder is None:
             return
         text = json.dumps({"relations": self._relations, "indexes": self._indexes})
-        new, old = self._path(f"catalog-{uuid.uuid4().hex}.json"), self._path("catalog.json")
+        number = self._number + 1
+        new, named = self._path(f"_catalog-{uuid.uuid4().hex}"), self._path(f"catalog-{number:012d}.json")
         fs = self._fs(new)
         out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
+        if fs.exists(named) or not fs.rename(new, named):
+            fs.delete(new, False)
+            raise RuntimeError(f"the catalog of {self.folder} was changed by another session; restore() reads it")
+        self._number = number
+        for k, path in self._catalogs():
+            if k < number - 1:
+                fs.delete(path, False)
+
+    def _catalogs(self) -> list[tuple[int, object]]:
+        """The numbers and paths of the catalog files, oldest first."""
+        top = self._path()
+        fs = self._fs(top)
+        names = {s.getPath().getName(): s.getPath() for s in fs.listStatus(top)} if fs.exists(top) else {}
+        return sorted((int(m[1]), path) for name, path in names.items() if (m := re.fullmatch(r"catalog-(\d+)\.json", name)))
 
     def restore(self) -> None:
-        """Reads the catalog of the folder, if there is one."""
-        path = self._path("catalog.json")
-        if self._fs(path).exists(path):
-            text = self.spark.read.text(path.toString(), wholetext=True).first()[0]
-            found = json.loads(text)
-            self._relations, self._indexes = found["relations"], found["indexes"]
+        """Reads the newest catalog of the folder, if there is one."""
+        found = self._catalogs()
+        self._number = found[-1][0] if found else 0
+        if found:
+            text = self.spark.read.text(found[-1][1].toString(), wholetext=True).first()[0]
+            x = json.loads(text)
+            self._relations, self._indexes = x["relations"], x["indexes"]
 
     def relations(self) -> list[str]:
         return sorted({*self._relations, *self._attached})
@@ -168,17 +186,21 @@ class Database:
         return rows.select(*out)
 
     def insert(self, name: str, rows: DataFrame | Iterable[Sequence]) -> None:
-        """Appends rows, checked against the schema; a primary index refuses keys that occur twice. Many rows at a time: every call writes files."""
+        """Appends rows, checked against the schema; a primary index refuses keys that occur twice. Many rows at a time: every call writes files.
+
+        Only the new keys are grouped; the relation's own are looked through for them by a semi-join, which broadcasts the new keys
+        while they are few.
+        """
         schema = self._known(name)
         if name in self._attached:
             raise ValueError(f"{name!r} is attached, and not changed from here")
         new = self._stored(schema, rows)
         for index in self._of(name, primary=True):
             key = index["key"]
-            both = self.df(name).select(*key).unionByName(new.select(*key))
-            twice = both.groupBy(*key).count().where("count > 1").limit(1).collect()
+            keys = new.groupBy(*key).count()
+            twice = keys.where("count > 1").select(*key).limit(1).collect() or self.df(name).select(*key).join(keys, key, "left_semi").limit(1).collect()
             if twice:
-                raise ValueError(f"the key {twice[0][:-1]} occurs twice in {name!r}")
+                raise ValueError(f"the key {tuple(twice[0])} occurs twice in {name!r}")
         entry = self._relations[name]
         if entry["version"] is None:
             self._replace(name, new)
@@ -197,6 +219,35 @@ class Database:
         new = {c: checked(compile_expression(e, env), schema.type_of(c), c) for c, e in values.items()}
         self._replace(name, self.df(name).select(*[F.when(hit, new[f]).otherwise(F.col(f"`{f}`")).alias(f) if f in new else F.col(f"`{f}`") for f in schema.fields]))
 
+    def with_tuple_ids(self, name: str, id_col: str = "tuple_id") -> DataFrame:
+        """A kept relation's rows, each with its id: the file it is in and its place there. Ids hold until the relation is rewritten."""
+        if name in self._attached:
+            raise ValueError(f"{name!r} is attached, and has no tuple ids")
+        return self.df(name).withColumn(id_col, F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")))
+
+    def _marked(self, name: str, ids: Iterable[tuple[str, int]]) -> DataFrame:
+        """The rows with their ids, and whether an id is among some given ones, which are joined by it."""
+        given = self.spark.createDataFrame([(tuple(x),) for x in ids], "_given struct<file:string,place:long>").distinct()
+        rows = self.with_tuple_ids(name, "_id")
+        return rows.join(given, F.col("_id") == F.col("_given"), "left")
+
+    def delete_tuples(self, name: str, ids: Iterable[tuple[str, int]]) -> None:
+        """Deletes the rows with some tuple ids; ids that no row has are passed over."""
+        self._replace(name, self._marked(name, ids).where("_given is null").drop("_id", "_given"))
+
+    def update_tuples(self, name: str, ids: Iterable[tuple[str, int]], new: Mapping[str, object]) -> None:
+        """Sets columns to values in the rows with some tuple ids."""
+        schema = self._known(name)
+        lost = [f for f in new if f not in schema.fields]
+        if lost:
+            raise ValueError(f"{name!r} has no fields {lost}")
+        one = self._stored(Schema("new", [(f, schema.type_of(f)) for f in new]), [tuple(new.values())])
+        rows = self._marked(name, ids)
+        for f in new:
+            value = F.lit(one.first()[f])
+            rows = rows.withColumn(f, F.when(F.col("_given").isNotNull(), value).otherwise(F.col(f"`{f}`")).cast(schema.type_of(f).spark))
+        self._replace(name, rows.select(*[F.col(f"`{f}`") for f in schema.fields]))
+
     def load_text(self, name: str, path: str, fraction: float = 1.0) -> None:
         """Appends the rows of a pipe-separated text file; a missing file is an error."""
         from .files import read_pipe_text
@@ -304,8 +355,12 @@ class Database:
     def _equal(self, found: dict, values) -> Column:
         schema, out = self._known(found["relation"]), F.lit(True)
         for f, v in zip(found["key"], values, strict=True):
-            t = schema.type_of(f)
-            out = out & (F.col(f"`{f}`") == (F.to_date(F.lit(str(v)), "yyyyMMdd") if t.kind == "date" else F.lit(v)))
+            c = F.col(f"`{f}`")
+            if schema.type_of(f).kind == "date":  # there may be times behind the days; both bounds reach the scan
+                day = datetime.datetime.strptime(str(v), "%Y%m%d").date()
+                out = out & (c >= F.lit(day)) & (c < F.lit(day + datetime.timedelta(1)))
+            else:
+                out = out & (c == F.lit(v))
         return out
 
     def _primary(self, name: str) -> str:

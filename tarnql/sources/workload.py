@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .database import Database
 from .files import SEED
@@ -26,26 +27,23 @@ class Reading:
         return self.rows / max(self.seconds, 1e-9)
 
 
-def random_reads(rows: DataFrame, key: Sequence[str], fraction: float, seed: int = SEED) -> DataFrame:
+def random_reads(rows: DataFrame, fraction: float, seed: int = SEED) -> DataFrame:
     """For each row one read: of the row itself, or for fraction of them of another row that is chosen at random.
 
-    Reads and rows are numbered alike and meet in one join by number, so a read is a lookup in a distributed
-    table and not one request after the other.
+    Rows are numbered from 0 over all partitions: where a partition begins is a running sum of the partitions' counts, which is joined by
+    partition. Reads and rows then meet in one join by number, so a read is a lookup in a distributed table and not one
+    request after the other.
     """
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    counts = numbered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row a partition
-    parts = [(r["p"], r["n"]) for r in counts if r["n"]]
-    if not parts:
+    placed = rows.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
         return rows.limit(0)
-    total, pick, at = sum(n for _, n in parts), F.lit(None).cast("long"), F.floor(F.rand(seed + 1) * sum(n for _, n in parts)).cast("long")
-    numbered_reads = numbered.select(*key, "_row").withColumn("_at", at)
-    begin = 0
-    for p, n in parts:
-        pick = F.when(F.col("_at") >= begin, F.lit(p << 33) + F.col("_at") - begin).otherwise(pick)
-        begin += n
-    assert begin == total
-    reads = numbered_reads.select(F.when(F.rand(seed) < fraction, pick).otherwise(F.col("_row")).alias("_row"))
-    return reads.join(numbered, "_row").drop("_row")
+    begin = F.sum("n").over(W.orderBy("_part")) - F.col("n")  # a row for each partition
+    numbered = placed.join(counts.select("_part", begin.alias("_begin")), "_part").withColumn("_row", F.col("_begin") + F.col("_place")).drop("_part", "_place", "_begin")
+    at = F.when(F.rand(seed) < fraction, F.floor(F.rand(seed + 1) * total).cast("long")).otherwise(F.col("_row"))
+    reads = numbered.select(at.alias("_row"))
+    return reads.join(numbered, "_row").select(*rows.columns)
 
 
 def run_workload(db: Database, relations: Sequence[str], mode: int) -> Reading:
@@ -53,5 +51,5 @@ def run_workload(db: Database, relations: Sequence[str], mode: int) -> Reading:
     fraction, rows, began = MODES[mode], 0, time.time()
     for name in relations:
         df = db.df(name)
-        rows += (df if fraction is None else random_reads(df, df.columns[:1], fraction)).count()
+        rows += (df if fraction is None else random_reads(df, fraction)).count()
     return Reading(rows, time.time() - began)

@@ -80,6 +80,46 @@ def test_indexes(db):
     assert not db.has_index(key)
 
 
+def test_tuple_ids(db):
+    ids = {r["id"]: tuple(r["tuple_id"]) for r in db.with_tuple_ids("e").collect()}
+    assert len(set(ids.values())) == 10
+    db.delete_tuples("e", [ids[2], ids[3], ("no file", 0)])
+    assert sorted(r["id"] for r in db.df("e").collect()) == [0, 1, 4, 5, 6, 7, 8, 9]
+    ids = {r["id"]: tuple(r["tuple_id"]) for r in db.with_tuple_ids("e").collect()}
+    db.update_tuples("e", [ids[4]], {"name": "other name", "pay": 7})
+    got = {r["id"]: (r["name"], r["pay"]) for r in db.df("e").collect()}
+    assert got[4] == ("other", 7.0) and got[5] == ("name0", 500.0)
+    with pytest.raises(ValueError):
+        db.update_tuples("e", [ids[4]], {"nothing": 1})
+
+
+def test_catalogs_are_never_missing(spark, db):
+    """Two versions are kept at most; a catalog that another session has changed is not overwritten; an unfinished one does not count."""
+    import pathlib
+
+    other = Database(spark, db.folder)
+    db.create_relation("f", [("x", "int")])
+    db.create_relation("g", [("x", "int")])
+    assert len(list(pathlib.Path(db.folder).glob("catalog-*.json"))) == 2
+    with pytest.raises(RuntimeError):
+        other.create_relation("h", [("x", "int")])
+    (pathlib.Path(db.folder) / "_catalog-unfinished").write_text("{")
+    assert Database(spark, db.folder).relations() == ["e", "f", "g"]
+    other.restore()
+    other.create_relation("h", [("x", "int")])
+    assert Database(spark, db.folder).relations() == ["e", "f", "g", "h"]
+
+
+def test_keys_of_a_batch_are_checked(db):
+    db.create_index("e", ["id"], primary=True)
+    new = (30, "x", 1.0, 19900101)
+    for bad in ([new, new], [new, (3, "y", 1.0, 19900101)]):
+        with pytest.raises(ValueError):
+            db.insert("e", bad)
+    db.insert("e", [new])
+    assert len(ids(db.df("e"))) == 11
+
+
 def test_access_paths(db):
     assert len(list(db.tuples("e"))) == 10
     assert sum(b.num_rows for b in db.pages("e")) == 10
