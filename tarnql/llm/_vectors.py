@@ -23,11 +23,11 @@ def finite_rows(batch: pa.RecordBatch, column: int):
 
 
 def fold_copies(vectors: DataFrame, keep: int) -> DataFrame:
-    """Of (id, .., v) rows with the same v those with the keep smallest ids: no others can be among a query's keep - 1 nearest.
+    """Of (id, dim, v) rows with the same dim and v those with the keep smallest ids: no others can be among a query's keep - 1 nearest.
 
     The limit is applied before rows are exchanged, so that a vector with very many copies does not gather.
     """
-    rank = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    rank = F.row_number().over(W.partitionBy("dim", "v").orderBy("id"))
     return vectors.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
 
 

@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A unit vector, padded to a power of two, is turned by three rounds of random signs and fast Hadamard transforms; its
-hash is the nearest signed axis, or depth of them from as many rotations. Each of several tables has rotations of its
-own. A query looks into the buckets of the axes nearest to it in every table (multiprobe), and what it finds there is
-ranked by the exact cosine of the original vectors.
+hash is the nearest signed axis, and with it the nearest of the first axes of a second such rotation, of as many as give
+buckets for the table's size. Each of several tables has rotations of its own. A query looks into the buckets of the axes
+nearest to it in every table (multiprobe). In the exchange a vector is a byte a component, with a bound on what that loses:
+in its cells a query's candidates get a least and a greatest possible cosine, and only those whose greatest is not below the
+k-th best least of all cells are fetched once and ranked by the exact cosine of the original vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._shared import written
 from ._vectors import EVERY, best_rows, finite_rows, fold_copies, matrix, merge_best
 
 ROUNDS = 3
-CELL = 8192  # vectors of a bucket in one cell, about
-NEAR = 1e-12
+CELL = 8192  # vectors, and queries, of one cell, about
+SHARE, FALL = 0.1, 0.16  # of the buckets, what a query looks into: SHARE / n ** FALL
+PROBES = 48  # buckets a query should look into in a table; buckets are made so many that this is their share
+SLACK = 1e-6  # over the bound, for rounding
 
 
 def signs(dim: int, tables: int, depth: int, seed: int) -> np.ndarray:
@@ -40,40 +45,78 @@ def rotate(x: np.ndarray, rounds: np.ndarray) -> np.ndarray:
     return x
 
 
-def nearest_axes(x: np.ndarray, rotations: np.ndarray, probes: int) -> np.ndarray:
-    """For each row of unit vectors its probes nearest buckets in one table, nearest first. A bucket is a number made of the
-    signed axes (2 * axis, + 1 if negative) of the table's rotations."""
-    score = code = None
-    for rounds in rotations:
-        y = rotate(x, rounds)
-        s = np.stack((y, -y), 2).reshape(len(x), -1)
-        top = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-        s = np.take_along_axis(s, top, 1)
-        if score is None:
-            score, code = s, top
-        else:
-            score = (score[:, :, None] + s[:, None]).reshape(len(x), -1)
-            code = (code[:, :, None] * (2 * rounds.shape[1]) + top[:, None]).reshape(len(x), -1)
-            best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-            score, code = np.take_along_axis(score, best, 1), np.take_along_axis(code, best, 1)
-    return code
-
-
-def _cells(tables: int, depth: int, probes: int, seed: int):
-    """(id, dim, v) to (id, dim, v, cell, bucket), probes rows for each table."""
+def bucket_plan(n: int, dim: int) -> tuple[int, int]:
+    """For n vectors of dim components: axes of the second rotation that count (0: none), and the buckets that a query looks into in each table.
+
+    The share of buckets falls with n, so vectors that are compared to a query grow slower than n.
+    """
+    width = 1 << max(0, dim - 1).bit_length()
+    share = SHARE / max(n, 1) ** FALL
+    axes = 0
+    while 2 * width * max(1, 2 * axes) * share < PROBES and axes < width:
+        axes = axes * 2 or 1
+    return axes, max(1, int(np.ceil(share * 2 * width * max(1, 2 * axes))))
+
+
+def nearest_buckets(x: np.ndarray, rotations: np.ndarray, axes: int, probes: int) -> np.ndarray:
+    """For each row of unit vectors its probes nearest buckets in one table, nearest first. A bucket is the number of a
+    signed axis (2 * axis, + 1 if negative) of the first rotation and one of the first axes of the second."""
+    y = rotate(x, rotations[0])
+    score = np.stack((y, -y), 2).reshape(len(x), -1)
+    if axes:
+        z = rotate(x, rotations[1])[:, :axes]
+        z = np.stack((z, -z), 2).reshape(len(x), -1)
+        if probes == 1:  # the nearest of both
+            return (score.argmax(1) * (2 * axes) + z.argmax(1))[:, None]
+        score = (score[:, :, None] + z[:, None]).reshape(len(x), -1)
+    if probes < score.shape[1]:
+        top = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+    else:
+        top = np.tile(np.arange(score.shape[1]), (len(x), 1))
+    order = np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, 1)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # else squares of very small or large numbers are lost
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _parts_of(batches):
+    """(id, dim, n, v) by dim: the dim, its vectors in all, the rows, and the unit vectors."""
+    for b in batches:
+        dims = b.column(1).to_numpy()
+        for dim in np.unique(dims):
+            part = b.filter(pa.array(dims == dim))
+            yield int(dim), part.column(2)[0].as_py(), part, units(matrix(part.column(3), np.float64))
+
+
+def _index(tables: int, seed: int):
+    """(id, dim, n, v) to (id, dim, tbl, bucket, c, scale, err): a row for each table, with the unit vector in bytes and the length of what these lose."""
+
+    def run(batches):
+        for dim, n, part, x in _parts_of(batches):
+            axes, _ = bucket_plan(n, dim)
+            scale = np.abs(x).max(1) / 127
+            c = np.rint(x / scale[:, None]).astype(np.int8)
+            err = np.linalg.norm(x - c * scale[:, None], axis=1)
+            packed = pa.array([r.tobytes() for r in c], pa.binary())
+            for t, rotations in enumerate(signs(dim, tables, 2, seed)):
+                bucket = nearest_buckets(x, rotations, axes, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(bucket, pa.int64()), packed, pa.array(scale), pa.array(err)], ["id", "dim", "tbl", "bucket", "c", "scale", "err"])
+
+    return run
+
+
+def _probes(tables: int, seed: int, probes: int | None):
+    """(id, dim, n, v) to (id, dim, tbl, buckets): what a query looks into."""
 
     def run(batches):
-        for b in batches:
-            dims = b.column(1).to_numpy()
-            for dim in np.unique(dims):
-                part = b.filter(pa.array(dims == dim))
-                x = matrix(part.column(2), np.float64)
-                x = x / np.abs(x).max(1, keepdims=True)  # else squares of very small or large numbers are lost
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for t, rotations in enumerate(signs(int(dim), tables, depth, seed)):
-                    code = nearest_axes(x, rotations, probes)
-                    again = part.take(pa.array(np.repeat(np.arange(len(x)), code.shape[1])))
-                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array(np.full(code.size, t, np.int32)), pa.array(code.reshape(-1), pa.int64())], ["id", "dim", "v", "cell", "bucket"])
+        for dim, n, part, x in _parts_of(batches):
+            axes, many = bucket_plan(n, dim)
+            for t, rotations in enumerate(signs(dim, tables, 2, seed)):
+                code = nearest_buckets(x, rotations, axes, probes or many)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], ["id", "dim", "tbl", "buckets"])
 
     return run
 
@@ -91,58 +134,123 @@ def cosine_rows(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
 
 
-def _rerank(k: int):
+def _bounded(k: int):
+    """One cell: for each query the vectors of its buckets whose cosine can be among its k best here, with bounds (query_id, vec_id, low, high)."""
+
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[], [], [], []]
         if queries.num_rows and vectors.num_rows:
-            v_ids, v = vectors["id"].to_numpy(), matrix(vectors["v"], np.float64)
-            unit = v / np.abs(v).max(1, keepdims=True)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            q_ids, q = queries["id"].to_numpy(), matrix(queries["v"], np.float64)
-            q_unit = q / np.abs(q).max(1, keepdims=True)
-            q_unit /= np.linalg.norm(q_unit, axis=1, keepdims=True)
-            for a in range(0, len(q), 512):
-                about = q_unit[a : a + 512] @ unit.T
-                about[q_ids[a : a + 512, None] == v_ids] = -2
-                for j, near in enumerate(about):
-                    m = min(k, len(near))
-                    least = np.partition(near, len(near) - m)[len(near) - m]
-                    some = np.flatnonzero((near >= least - NEAR) & (near > -1.5))
-                    if len(some):
-                        score = cosine_rows(q[a + j], v[some])
-                        at = best_rows(score, v_ids[some], k)
-                        out[0] += [int(q_ids[a + j])] * len(at)
-                        out[1] += v_ids[some[at]].tolist()
-                        out[2] += score[at].tolist()
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()))})
+            bucket = vectors["bucket"].to_numpy()
+            order = np.argsort(bucket, kind="stable")
+            bucket, ids, scale, err = (vectors[c].to_numpy()[order] for c in ("bucket", "id", "scale", "err"))
+            c = matrix(vectors["c"], np.int8)[order].astype(np.float32)
+            q_ids, q = queries["id"].to_numpy(), matrix(queries["v"], np.float32)
+            asked = queries["buckets"].combine_chunks()
+            who = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy()))
+            wanted = asked.flatten().to_numpy()
+            by = np.argsort(wanted, kind="stable")
+            who, wanted = who[by], wanted[by]
+            names, first = np.unique(wanted, return_index=True)
+            found = []
+            for b, s, e in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(wanted)]):
+                lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
+                for at in range(s, e, 512):
+                    mine = who[at : min(e, at + 512)]
+                    about = q[mine] @ c[lo:hi].T * scale[lo:hi]
+                    low = np.where(q_ids[mine, None] == ids[None, lo:hi], -np.inf, about - err[lo:hi] - SLACK)
+                    if hi - lo > k:  # what cannot be among the k best of this bucket need not be kept
+                        least = np.partition(low, hi - lo - k, axis=1)[:, hi - lo - k, None]
+                        i, j = np.nonzero((low > -np.inf) & (about + err[lo:hi] + SLACK >= least))
+                    else:
+                        i, j = np.nonzero(low > -np.inf)
+                    found.append((mine[i], lo + j, low[i, j]))
+            w, j, low = (np.concatenate(x) for x in zip(*found)) if found else (who[:0], who[:0], scale[:0])
+            order = np.lexsort((-low, w))
+            w, j, low = w[order], j[order], low[order]
+            starts = np.searchsorted(w, np.arange(len(q)))
+            last = np.minimum(starts + k, np.searchsorted(w, np.arange(len(q)), "right")) - 1
+            full = last - starts + 1 >= k
+            least = np.where(full, low[np.maximum(last, 0)] if len(low) else -np.inf, -np.inf)
+            high = low + 2 * (err[j] + SLACK)
+            keep = high >= least[w]
+            out = [q_ids[w[keep]], ids[j[keep]], low[keep], high[keep]]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "low", "high"), out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
 
     return run
 
 
-def nearest_cosine(vectors: DataFrame, k: int = 5, tables: int = 6, probes: int = 24, depth: int = 1, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", queries=None) -> DataFrame:
+def _exact(batches):
+    for b in batches:
+        score = [cosine_rows(np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)[None])[0] for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _singles(batches):
+    """(id, dim, n, v) to (id, dim, v): unit vectors in single precision; SLACK covers what that loses."""
+    for _, _, part, x in _parts_of(batches):
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["id", "dim", "v"])
+
+
+def _bounds(index: DataFrame, probed: DataFrame, singles: DataFrame, k: int, groups: int) -> DataFrame:
+    """Candidates with bounds. Small buckets of a table share a cell with others; one of many vectors is dealt to cells of its own, and its queries as well."""
+    at = ["dim", "tbl", "bucket"]
+    each = probed.select("id", "dim", "tbl", F.explode("buckets").alias("bucket"))
+    sizes = index.groupBy(*at).agg(F.count("*").alias("n")).join(each.groupBy(*at).agg(F.count("*").alias("m")), at)  # buckets that a query looks into
+    parts = sizes.select(*at, F.ceil(F.col("n") / CELL).cast("int").alias("parts"), F.ceil(F.col("m") / CELL).cast("int").alias("sides"))
+    parts = written(parts, "bucket-parts")
+    alone = (F.col("parts") > 1) | (F.col("sides") > 1)
+    cell: Column = F.when(alone, -F.col("bucket") - 1).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(groups)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = index.join(parts, at).select("id", "c", "scale", "err", *at, cell.alias("cell"), dealt("parts").alias("part"), all_("sides").alias("side"))
+    left = each.join(parts, at).select("id", *at, cell.alias("cell"), dealt("sides").alias("side"), all_("parts").alias("part"))
+    key = ["dim", "tbl", "cell", "part", "side"]
+    left = left.groupBy("id", *key).agg(F.collect_list("bucket").alias("buckets")).join(singles, ["id", "dim"])  # as many as a query's probes at most
+    left = left.select("id", "v", "buckets", *key)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_bounded(k), "query_id long, vec_id long, low double, high double")
+
+
+def nearest_cosine(vectors: DataFrame, k: int = 5, tables: int = 10, probes: int | None = None, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", queries=None) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query row's k nearest of the rows found, by cosine, ties to the smaller id.
 
     queries: a condition on the column id, by default ids that 50 divides; candidates are all rows but the query's own. Rows with a null id,
     and vectors that are null, zero, empty or hold a null, NaN or infinite component take no part; vectors only meet those of as many
     components. Repeated rows count once, as do several vectors of one id, with their best score. An empty table gives no rows.
 
-    Every row is indexed in every table. With the defaults, recall on 64 dimensions is 0.98 or more against brute force (more tables,
-    more probes: higher). depth 2 squares the number of buckets, for indexes whose buckets get too large. Of equal
-    vectors the k + 1 smallest ids are indexed, since no others can be among the nearest, and a bucket of many vectors
-    is dealt to several cells, each of which its queries visit; none is capped.
+    Every row is indexed in every table. The buckets, and the share of them that a query looks into, follow from the number of vectors of a
+    dim (bucket_plan); probes sets a number instead. A query that finds fewer than k that way looks into all buckets of one table, so it gets k
+    if there are so many. Of equal vectors the k + 1 smallest ids are indexed, since no others can be among the nearest; a bucket
+    of many vectors or queries is dealt to several cells, and none is capped.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>")).mapInArrow(_doubles, "id long, dim int, v binary")
     rows = written(rows.distinct(), "doubles")
-    asked = rows.where(F.pmod("id", F.lit(EVERY)) == 0 if queries is None else queries)
-    kind = "id long, dim int, v binary, cell int, bucket long"
-    index = written(fold_copies(rows, k + 1).mapInArrow(_cells(tables, depth, 1, seed), kind), "index")
-    probed = asked.mapInArrow(_cells(tables, depth, probes, seed), kind)
-    at = ["dim", "cell", "bucket"]
-    parts = index.groupBy(*at).agg((F.ceil(F.count("*") / CELL)).cast("int").alias("parts"))
-    parts = written(parts, "bucket-parts")
-    index = index.join(parts, at).select("id", "v", *at, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    again = parts.select(*at, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    probed = probed.join(again, at).select("id", "v", *at, "part")
-    key = [*at, "part"]
-    found = probed.groupBy(*key).cogroup(index.groupBy(*key)).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
-    return merge_best(found, k)
+    known = fold_copies(rows, k + 1)
+    sizes = written(known.groupBy("dim").agg(F.count("*").alias("n")), "dims")
+    groups = max(1, -(-(sizes.agg(F.max("n")).first()[0] or 1) // CELL))
+    sized = lambda df: df.join(sizes, "dim").select("id", "dim", "n", "v")
+    asked = sized(rows.where(F.pmod("id", F.lit(EVERY)) == 0 if queries is None else queries))
+    index = written(sized(known).mapInArrow(_index(tables, seed), "id long, dim int, tbl int, bucket long, c binary, scale double, err double"), "index")
+    singles = asked.mapInArrow(_singles, "id long, dim int, v binary")
+    probed = asked.mapInArrow(_probes(tables, seed, probes), "id long, dim int, tbl int, buckets array<long>")
+    found = written(_best_bounds(_bounds(index, probed, singles, k, groups), k), "bounds")
+
+    enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("m")).where(F.col("m") >= k).select(F.col("query_id").alias("id"))
+    short = asked.join(enough, "id", "left_anti")
+    one = index.where("tbl = 0")
+    every = one.groupBy("dim").agg(F.collect_set("bucket").alias("buckets"))  # one table's buckets: some thousands at most
+    rest = short.select("id", "dim").distinct().join(every, "dim").select("id", "dim", F.lit(0).alias("tbl"), "buckets")
+    more = _best_bounds(_bounds(one, rest, short.mapInArrow(_singles, "id long, dim int, v binary"), k, groups), k)
+    found = written(found.unionByName(more), "all-bounds")
+
+    of = lambda name, v: rows.select(F.col("id").alias(name), F.col("dim"), F.col("v").alias(v))
+    pairs = found.select("query_id", "vec_id").distinct().join(of("vec_id", "v"), "vec_id").join(of("query_id", "q"), ["query_id", "dim"])
+    return merge_best(pairs.select("query_id", "vec_id", "q", "v").mapInArrow(_exact, "query_id long, vec_id long, score double"), k)
+
+
+def _best_bounds(found: DataFrame, k: int) -> DataFrame:
+    """Of all cells' candidates those whose greatest possible cosine is not below the k-th best least one of their query."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    of = W.partitionBy("query_id")
+    ranked = once.withColumn("place", F.row_number().over(of.orderBy(F.desc("low"), "vec_id")))
+    least = F.min(F.when(F.col("place") == k, F.col("low"))).over(of)
+    return ranked.withColumn("least", least).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "vec_id", "low", "high")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tarnql.llm.cross_polytope import nearest_axes, nearest_cosine, rotate, signs
+from tarnql.llm.cross_polytope import bucket_plan, nearest_buckets, nearest_cosine, rotate, signs
 from tarnql.llm.topk_search import search_block, segment_features, top_k_inner
 
 NAN, INF = float("nan"), float("inf")
@@ -67,8 +67,9 @@ def test_rotations_keep_lengths():
     x = rng.normal(size=(10, 24))
     for rounds in signs(24, 2, 1, 7)[:, 0]:
         assert np.allclose(np.linalg.norm(rotate(x, rounds), axis=1), np.linalg.norm(x, axis=1))
-    axes = nearest_axes(x, signs(24, 1, 1, 7)[0], 5)
-    assert axes.shape == (10, 5) and axes.max() < 64
+    rotations = signs(24, 1, 2, 7)[0]
+    buckets = nearest_buckets(x, rotations, 4, 5)
+    assert buckets.shape == (10, 5) and buckets.max() < 64 * 8 and (buckets[:, :1] == nearest_buckets(x, rotations, 4, 1)).all()
 
 
 def test_nearest_cosine(vectors):
@@ -89,4 +90,56 @@ def test_nearest_cosine(vectors):
         hits, total = hits + len({v for v, _ in best} & {v for _, v, _ in found}), total + len(best)
     assert hits / total >= 0.9
     assert [v for _, v, _ in sorted(by[50])] == [51, 52, 53, 54, 55]  # of equal vectors the smallest ids
-    assert nearest_cosine(vectors, depth=2, probes=60).count() > 0
+    assert nearest_cosine(vectors, tables=3, probes=60).count() > 0
+
+
+def recall(spark, x):
+    """Of queries' five nearest by brute force, the share that the index finds; and rows a query."""
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found: dict = {}
+    for r in nearest_cosine(rows).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-9
+    hits = total = 0
+    for q in range(0, len(x), 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        best = set(np.argsort(-score)[:5].tolist())
+        assert len(found[q]) == min(5, len(x) - 1)
+        hits, total = hits + len(best & found[q]), total + len(best)
+    return hits / total
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_recall_on_64_components(spark, n):
+    assert recall(spark, np.random.default_rng(n).normal(size=(n, 64))) >= 0.9
+
+
+def test_recall_in_groups_and_hot_buckets(spark, monkeypatch):
+    """A third of the vectors lie close together: their bucket is dealt to several cells."""
+    from tarnql.llm import cross_polytope
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + 0.05 * rng.normal(size=(1000, 64))
+    monkeypatch.setattr(cross_polytope, "CELL", 64)
+    assert recall(spark, x) >= 0.9
+
+
+@pytest.mark.parametrize("n", [2, 4, 6])
+def test_few_vectors_are_all_found(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    got = nearest_cosine(spark.createDataFrame([(50 * k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    assert len(got) == n * min(5, n - 1)
+
+
+def test_comparisons_grow_slower_than_vectors():
+    """Expected share of a table that a query is compared to, for 64 components."""
+    def share(n):
+        axes, probes = bucket_plan(n, 64)
+        return probes / (128 * max(1, 2 * axes))
+
+    shares = [share(n) for n in (2_000, 50_000, 10**6, 10**9)]
+    assert all(a > 1.3 * b for a, b in zip(shares, shares[1:])) and shares[-1] < 0.005
