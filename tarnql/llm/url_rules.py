@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,40 +77,53 @@ def rule_index(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str, list[
     return index
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", otherwise: str = "allow", inline_rules: int = 500) -> DataFrame:
-    """pages with host, path, rule and verdict added (columns of these names are replaced).
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", otherwise: str = "allow", inline_rules: int = 5000) -> DataFrame:
+    """pages with host, path, rule and verdict added (columns of these names are replaced; others pass through, whatever their names).
 
     rule is the longest pattern whose host is the URL's host or a parent domain of it and whose path starts the URL's
     path; the verdict is the rule's. Without such a rule, rule is null and the verdict is otherwise. Of equal patterns the first counts. A
     null URL or one without :// has an empty host and path, and a rule that fits neither. Repeated and empty inputs are ordinary.
 
-    Up to inline_rules rules the index is part of the expression: no exchange at all. More rules are joined by token
+    Up to inline_rules rules the index is a hash table in the expression, which a URL's tokens look into: no exchange at all. More rules are joined by token
     on the distinct (host, path) pairs, which folds repeated URLs first, and the judgement is joined back.
     """
     rules = list({r.pattern: r for r in reversed([Rule(*r) for r in rules])}.values())
     urls = pages.drop("host", "path", "rule", "verdict") if {"host", "path", "rule", "verdict"} & set(pages.columns) else pages
     urls = urls.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     index = rule_index(rules, token_counts(urls, rules))
+    hit = unused(urls, "_hit")[0]
     if len(rules) <= inline_rules:
-        return _inline(urls, index, otherwise)
-    return _joined(urls, index, otherwise)
-
-
-def _inline(urls: DataFrame, index: dict[str, list[Rule]], otherwise: str) -> DataFrame:
-    address, tokens = F.concat("host", "path"), url_tokens(F.col("host"), F.col("path"))
-    # the array is built once a row, and a token's rules are evaluated only for rows that have the token
-    hits = [F.when(F.array_contains("_tokens", t) & F.regexp_like(address, F.lit(r.regex)), F.struct(F.lit(len(r.pattern)).alias("n"), F.lit(r.pattern).alias("rule"), F.lit(r.verdict).alias("verdict"))) for t, rs in index.items() for r in rs]
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0] if hits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-    out = urls.withColumn("_tokens", tokens).withColumn("_hit", best)
-    return out.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(otherwise))}).drop("_tokens", "_hit")
-
-
-def _joined(urls: DataFrame, index: dict[str, list[Rule]], otherwise: str) -> DataFrame:
+        out = urls.withColumn(hit, _best(index, urls.sparkSession))
+    else:
+        out = _joined(urls, index, hit)
+    return out.withColumns({"rule": F.col(hit)["rule"], "verdict": F.coalesce(F.col(hit)["verdict"], F.lit(otherwise))}).drop(hit)
+
+
+def _best(index: dict[str, list[Rule]], spark) -> Column:
+    """The longest fitting rule as a struct. The index is an array of small arrays of rules; a token's hash is its place there. A URL
+    takes the rules filed under its own tokens from it, and only their regular expressions are run."""
+    kind = "struct<n:int,rule:string,verdict:string>"
+    if not index:
+        return F.lit(None).cast(kind)
+    tokens = sorted(index)
+    places = 1 << max(1, (2 * len(tokens)).bit_length())
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(places)).cast("int")
+    at = spark.range(1).select(F.array(*[place(F.lit(t)) for t in tokens]).alias("at")).first()["at"]
+    filed: list[list] = [[] for _ in range(places)]
+    for t, k in zip(tokens, at):
+        filed[k] += [F.struct(F.lit(t).alias("token"), F.lit(r.regex).alias("regex"), F.lit(len(r.pattern)).alias("n"), F.lit(r.pattern).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in index[t]]
+    none = F.array().cast("array<struct<token:string,regex:string,n:int,rule:string,verdict:string>>")
+    table = F.array(*[F.array(*x) if x else none for x in filed])
+    fetched = F.flatten(F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.filter(F.element_at(table, place(t) + 1), lambda r: r["token"] == t)))
+    fits = F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["regex"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+
+
+def _joined(urls: DataFrame, index: dict[str, list[Rule]], hit: str) -> DataFrame:
     filed = [(t, r.regex, len(r.pattern), r.pattern, r.verdict) for t, rs in index.items() for r in rs]
     filed = urls.sparkSession.createDataFrame(filed, "token string, regex string, n int, rule string, verdict string")
     each = urls.select("host", "path").distinct()
     asked = each.withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
     fits = asked.join(filed, "token").where(F.regexp_like(F.concat("host", "path"), F.col("regex")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("n", "rule", "verdict")).alias("_hit"))
-    out = urls.join(best, ["host", "path"], "left").select(*[urls[c] for c in urls.columns], "_hit")
-    return out.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(otherwise))}).drop("_hit")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("n", "rule", "verdict")).alias(hit))
+    return urls.join(best, ["host", "path"], "left").select(*[urls[f"`{c}`"] for c in urls.columns], hit)
