@@ -23,6 +23,7 @@ from ._shared import delete_path, fresh_path, release_shuffles
 from ._words import Words, mix
 
 BUCKET_BYTES = 6_000_000  # of a batch's texts for each bucket, about a million windows
+MOST_BUCKETS, MOST_BYTES = 4096, 24_000_000  # buckets at most, and bytes of a batch's texts for each once there are so many
 GROUP_BYTES = 6_000_000  # of texts for each group
 CELL = "bucket int, kind string, doc_id long, n int, h binary, c binary, docs binary"
 
@@ -179,19 +180,34 @@ def _compact(cells: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_run_cell(rows[0]["bucket"], h[order], c[order])])
 
 
+def plan_sizes(size: int, batches: int = 4) -> tuple[int, int]:
+    """Buckets and batches for size bytes of text: buckets of about a million windows of a batch up to MOST_BUCKETS, then buckets of up to four million,
+    then more batches. So what a task holds is bounded, a step of texts makes at most MOST_BUCKETS cells, and buckets stay far below Spark's limit."""
+    buckets = min(MOST_BUCKETS, max(16, size // (BUCKET_BYTES * batches)))
+    return buckets, max(batches, -(-size // (MOST_BUCKETS * MOST_BYTES)))
+
+
 class WindowIndex:
     """Hashes of all windows of width words seen so far, as runs in the shared folder.
 
     buckets is a power of two that is fixed for the index: enough of them that a bucket's entries fit into a task.
     groups: flags are returned by group of documents, so many that the texts of one fit into a task.
+    Runs have levels: fanout runs of one level are merged into one of the next, so a window is rewritten as often as there are levels, a
+    logarithm of the batches.
     """
 
     def __init__(self, spark: SparkSession, width: int = 13, buckets: int = 64, groups: int = 64, fanout: int = 2):
         self.spark, self.width, self.groups, self.fanout = spark, width, groups, fanout
         self.bits = max(0, (buckets - 1).bit_length())
-        self.buckets, self.runs, self.batches, self.flag_paths = 1 << self.bits, 0, 0, []
+        self.buckets, self.batches = 1 << self.bits, 0
+        self.levels: dict[int, int] = {}  # of each run, by its number
+        self._numbers = 0  # of batches and merged runs
         self._create()
 
+    @property
+    def runs(self) -> int:
+        return len(self.levels)
+
     def _create(self) -> None:
         self.name, self.path = f"windows_{uuid.uuid4().hex}", fresh_path(self.spark, "windows")
         self.spark.sql(f"CREATE TABLE {self.name} ({CELL}, run int) USING parquet OPTIONS (compression 'uncompressed') PARTITIONED BY (kind, run) CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
@@ -201,8 +217,8 @@ class WindowIndex:
         cells.select(*columns, "kind", F.lit(run).alias("run")).write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
-    def _history(self) -> DataFrame:
-        return self.spark.table(self.name).where("kind = 'run'")
+    def _history(self, runs=None) -> DataFrame:
+        return self.spark.table(self.name).where((F.col("kind") == "run") & F.col("run").isin(list(self.levels if runs is None else runs)))
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Takes in a batch (id long, text) and returns its flags (grp, h, docs), packed: for each document of a group the hashes
@@ -215,13 +231,14 @@ class WindowIndex:
         found = cells.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge(self.groups), CELL)
         if last:
             found = found.where("kind = 'flag'")
-        self.batches += 1
+        self.batches = self._numbers = self._numbers + 1
         self._append(found, self.batches)
         schema, part = "doc_id long, h binary, docs binary", f"kind=flag/run={self.batches}"
         flags = self.spark.read.schema(schema).parquet(f"{self.path}/{part}") if self._has(part) else self.spark.createDataFrame([], schema)
-        self.runs += 1
-        if not last and self.runs >= self.fanout:
-            self.compact()
+        if not last:
+            self.levels[self.batches] = 0
+            while self.compact():
+                pass
         release_shuffles(self.spark)
         return flags.withColumnRenamed("doc_id", "grp")
 
@@ -229,21 +246,24 @@ class WindowIndex:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def compact(self) -> None:
-        """Merges all runs into one, bucket by bucket where they are, and deletes them; flags stay."""
-        name, path, merged = self.name, self.path, self._history().drop("run").groupBy("bucket").applyInArrow(_compact, CELL)
-        self._create()
-        self._append(merged, self.batches)
-        self._delete(name, path)
-        self.runs = 1
-
-    def _delete(self, name: str, path: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        delete_path(self.spark, f"{path}/kind=run")
-
-    def close(self) -> None:
-        """Deletes the runs; flags that were returned stay readable."""
-        self._delete(self.name, self.path)
+    def compact(self) -> bool:
+        """Merges the runs of the lowest level that has fanout of them into one of the next, bucket by bucket where they are, and deletes them."""
+        level = next((x for x in sorted(set(self.levels.values())) if sum(y == x for y in self.levels.values()) >= self.fanout), None)
+        if level is None:
+            return False
+        old = [r for r, x in self.levels.items() if x == level]
+        self._numbers += 1
+        self._append(self._history(old).drop("run").groupBy("bucket").applyInArrow(_compact, CELL), self._numbers)
+        self.levels = {r: x for r, x in self.levels.items() if r not in old} | {self._numbers: level + 1}
+        for r in old:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (kind = 'run', run = {r})")
+            delete_path(self.spark, f"{self.path}/kind=run/run={r}")
+        return True
+
+    def close(self, flags: bool = True) -> None:
+        """Drops the table and deletes the runs; flags that were returned stay readable, unless they are not to be kept."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, f"{self.path}/kind=run" if flags else self.path)
 
 
 def _remove(width: int):
@@ -291,20 +311,25 @@ def dedup_substrings(docs: DataFrame, width: int = 13, batches: int = 4, buckets
     texts have no words; a text of fewer than width words keeps all. Rows with a null id keep all and take nothing from
     others; rows with the same id do not take from each other. An empty table gives no rows. Other columns are not looked at.
 
-    buckets: None sizes them by the input, so that one holds about a million windows of a batch.
+    buckets: None sizes them, and more than the given batches, by the input (plan_sizes). If a batch fails, the index is deleted.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if buckets is None:
+        buckets, batches = plan_sizes(size, batches)
     share = [k / batches for k in range(1, batches)]
-    size, cuts = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("id", share, 10000)).first()
-    bounds = sorted(set(cuts or []))
-    groups = max(16, (size or 0) // GROUP_BYTES)
-    index = WindowIndex(spark, width, buckets or max(16, (size or 0) // (BUCKET_BYTES * batches)), groups)
-    flags = None
-    for k, (a, b) in enumerate(zip([None, *bounds], [*bounds, None])):
-        part = rows.where((F.lit(True) if a is None else F.col("id") > a) & (F.lit(True) if b is None else F.col("id") <= b))
-        found = index.add(part, last=k == len(bounds))
-        flags = found if flags is None else flags.unionByName(found)
+    bounds = sorted(set(rows.agg(F.percentile_approx("id", share, 10000)).first()[0] or [])) if share else []
+    groups = max(16, size // GROUP_BYTES)
+    index, flags = WindowIndex(spark, width, buckets, groups), None
+    try:
+        for k, (a, b) in enumerate(zip([None, *bounds], [*bounds, None])):
+            part = rows.where((F.lit(True) if a is None else F.col("id") > a) & (F.lit(True) if b is None else F.col("id") <= b))
+            found = index.add(part, last=k == len(bounds))
+            flags = found if flags is None else flags.unionByName(found)
+    except BaseException:
+        index.close(flags=False)
+        raise
     index.close()
     grouped = rows.mapInArrow(_with_group(groups), "grp long, id long, text string")
     out = grouped.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(_remove(width), "id long, n_words long, n_removed long, kept string")
