@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import word_count, written
+from ._shared import forget, word_count, written
 
 DIGITS = 12  # hexadecimal digits of the key that bins are taken from
 BROADCAST_SOURCES = 50_000  # up to so many sources (some 100 bytes each) are joined by broadcast
@@ -57,9 +57,10 @@ def _by_source(rows: DataFrame, per_source: DataFrame, name: str, sources: int)
     return rows.join(salted, rows["_source"].eqNullSafe(salted[name]) & (F.col("_salt_of") == F.col("_salt"))).drop("_salt", "_salt_of", name)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *columns) -> DataFrame:
+    """Each row's source, size and key, and some columns more."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": word_count(F.col(text_col)), "_key": key})
+    return docs.select(F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"), key.alias("_key"), *columns)
 
 
 def _plan(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, int, int]:
@@ -106,16 +107,21 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     key (repeated rows, null ids) come in the order of their sizes, and of those with equal sizes all or none are taken. A source without words has
     the target 0, and its (wordless) documents are taken once. Empty tables give no rows. Other columns are not looked at.
     """
-    rows = _keyed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "text", "source").drop("text", "source")
-    rows = written(rows, "sizes")
+    rows = written(_keyed(docs, id_col, text_col, source_col, F.col(id_col).alias("id")), "sizes")
     plan, bits, sources = _plan(rows, weights, share, most)
     out = _by_source(rows, plan, "_of", sources).withColumn("epochs", _epochs(bits))
     return out.select(F.col("id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "epochs", (F.col("_size") * F.col("epochs")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as mix_sources takes it, with its own columns."""
-    keyed = _keyed(docs, id_col, text_col, source_col)
-    plan, bits, sources = _plan(written(keyed.select("_source", "_size", "_key"), "sizes"), weights, share, most)
-    out = _by_source(keyed, plan, "_of", sources).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _epochs(bits).cast("int"))))
-    return out.select(*docs.columns)
+    """The mix itself: each row of docs as often as mix_sources takes it, with its own columns, whatever their names.
+
+    Null and empty texts, null sources and ids, repeated rows and empty tables are taken as mix_sources says; rows of one id and one
+    size are taken alike. A row is repeated whole, and its copies are equal.
+    """
+    sizes = written(_keyed(docs, id_col, text_col, source_col), "sizes")
+    plan, bits, sources = _plan(sizes, weights, share, most)
+    forget(sizes)
+    keyed = _keyed(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = _by_source(keyed, plan, "_of", sources).select("_row", F.explode(F.array_repeat(F.lit(1), _epochs(bits).cast("int"))))
+    return out.select("_row.*")

@@ -9,11 +9,11 @@ texts that is larger than the tolerance is cut, by further rounds over the ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import written
+from ._shared import forget, written
 
 STEP = 8
 LOW, END = -(1 << 63), 1 << 63
@@ -87,6 +87,15 @@ def _past(h: int, at: int | None):
     return beyond | ((F.col("h") == h) & (F.coalesce("id", F.lit(LOW)) >= at)) if at < END else beyond
 
 
+def _keys_and_shard(docs: DataFrame, shards: int, id_col: str, text_col: str, tolerance: float) -> tuple[DataFrame, Column]:
+    """Narrow rows (id, h, size, text_crc32) of all documents, and the shard as a function of id and h."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.octet_length(text).cast("long") + 1
+    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "keys")
+    splitters = even_splitters(rows, shards, tolerance)
+    return rows, sum((_past(*s).cast("int") for s in splitters), F.lit(0)).cast("int")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, run_rows: int = 2_000_000) -> DataFrame:
     """One row per input row: the id, size (UTF-8 bytes + 1), text_crc32, shard and slot.
 
@@ -100,11 +109,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     partitions as keep run_rows rows in each.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = F.octet_length(text).cast("long") + 1
-    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "keys")
-    splitters = even_splitters(rows, shards, tolerance)
-    shard = sum((_past(*s).cast("int") for s in splitters), F.lit(0)).cast("int")
+    rows, shard = _keys_and_shard(docs, shards, id_col, text_col, tolerance)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // run_rows + 1)
     place = F.monotonically_increasing_id()  # partition and position, of rows sorted just before
     placed = rows.withColumn("shard", shard).repartitionByRange(parts, "shard", "h", "id").sortWithinPartitions("shard", "h", "id").withColumn("place", place)
@@ -116,13 +121,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     return placed.join(F.broadcast(runs), ["shard", "part"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """Writes docs, all columns, to path/shard=k/: each row goes to the shard shard_by_bytes gives it.
+def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01) -> None:
+    """Writes docs, all columns, to path/shard=k/: each row goes to the shard shard_by_bytes gives it, which is a function of its id and text.
 
-    Rows whose id is null or repeated are matched by id, size and text checksum.
+    Null ids and texts, repeated rows and ties are as there: rows that agree in id and text share a shard. An empty table writes no
+    shards. A column called shard is an error, since that is the folder's; other columns may have any name.
     """
-    at = shard_by_bytes(docs, shards, id_col, text_col, **options)
+    if "shard" in map(str.lower, docs.columns):
+        raise ValueError("docs has a column shard, which is the name of the folders")
+    rows, shard = _keys_and_shard(docs, shards, id_col, text_col, tolerance)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mine = at.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc")).agg(F.min("shard").alias("shard"))
-    same = docs[id_col].eqNullSafe(mine._id) & (F.octet_length(text) + 1 == mine._size) & (F.crc32(text.cast("binary")) == mine._crc)
-    docs.join(mine, same).drop("_id", "_size", "_crc").repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(32))).write.partitionBy("shard").parquet(path)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    out = keyed.select("_row.*", shard.alias("shard"))
+    out.repartition("shard", F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(32))).write.partitionBy("shard").parquet(path)
+    forget(rows)

@@ -1,7 +1,7 @@
 """Texts whose sets of shingles have a given Jaccard similarity, found by fingerprints and verified on the whole sets.
 
-Each distinct set has a SimHash of the text's distinct words and one of its shingles. Sets are candidates if the first differ in
-at most WORD_BITS bits (found by pigeonring chain keys) and the second in at most SET_BITS: a word that changes takes
+Each distinct set has two independent SimHashes of the text's distinct words and one of its shingles. Sets are candidates if either of the first differs in
+at most WORD_BITS bits (found by pigeonring chain keys) and the last in at most SET_BITS: a word that changes takes
 several shingles along but one word, so that similar texts nearly agree in their words, while texts that only have their vocabulary in
 common are far apart in their shingles. For sets of few shingles, whose SimHashes a single word turns, the
 fingerprint is exact instead: 64 parities, one for each class of shingle hashes, differ in no more bits than the sets differ in shingles, which
@@ -35,7 +35,8 @@ FEW, GROWTH = 4, 16  # candidates that a member is verified against at once; by
 BITS_AT_ONCE = 1 << 14
 ROWS, WHOLE = 512, 8192  # members that are compared at a time; larger buckets have centres only
 BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
-WORDS_OF, PARITY_OF = 0, 1
+FAMILIES = 4  # kinds of fingerprint, at most
+WORDS_OF, PARITY_OF, AGAIN_OF = 0, 1, 2
 ENTRY = "bucket long, tag long, code long, other long, key long"
 ENTRY_TYPES = [pa.int64()] * 5
 
@@ -98,7 +99,7 @@ def with_set_key(docs: DataFrame, text_col: str, width: int, name: str) -> DataF
 
 
 def described(rows: DataFrame, width: int) -> DataFrame:
-    """(id, text) to (id, key, n, words, set, parity, wide): the set's hash and size, both SimHashes, parities of few hash classes and of many."""
+    """(id, text) to (id, key, n, words, again, set, parity, wide): the set's hash and size, two SimHashes of its words, one of itself, parities of few hash classes and of many."""
 
     def run(batches):
         for b in (x for batch in batches for x in slices(batch, 1, STEP)):
@@ -115,21 +116,23 @@ def described(rows: DataFrame, width: int) -> DataFrame:
             np.bitwise_xor.at(wide, at * WIDE + ((x >> np.uint64(3)) % np.uint64(WIDE)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
             ends = np.concatenate(([0], np.cumsum(n >= SHORT))).astype(np.int32) * WIDE
             wide = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(wide)])
-            numbers = [x.view(np.int64) for x in (majorities(*_distinct(w.doc, w.hashes(0), len(n))), majorities(h, first), parity)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), *map(pa.array, numbers), wide], ["id", "key", "n", "words", "set", "parity", "wide"])
+            numbers = [x.view(np.int64) for x in (*(majorities(*_distinct(w.doc, w.hashes(k), len(n))) for k in (0, 1)), majorities(h, first), parity)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), *map(pa.array, numbers), wide], ["id", "key", "n", "words", "again", "set", "parity", "wide"])
 
-    return rows.mapInArrow(run, "id long, key long, n int, words long, set long, parity long, wide binary")
+    return rows.mapInArrow(run, "id long, key long, n int, words long, again long, set long, parity long, wide binary")
 
 
 def entries(texts: DataFrame, keys: list) -> DataFrame:
     """Each set in the buckets of its chain keys; tag holds its size, the fingerprint's kind and the key's."""
 
     def of(family: int, code: str, rows: DataFrame) -> DataFrame:
-        tag = lambda k: F.col("n").cast("long") * 512 + (family * 256 + k)
-        each = [F.struct(F.xxhash64(F.lit(family * 256 + k), F.col(code).bitwiseAND(F.lit(signed(mask)))).alias("bucket"), tag(k).alias("tag")) for k, (mask, _) in enumerate(keys)]
+        tag = lambda k: F.col("n").cast("long") * (FAMILIES * 256) + (family * 256 + k)
+        bucket = lambda k, mask: F.xxhash64(F.lit(family * 256 + k), F.col(code).bitwiseAND(F.lit(signed(mask)))).bitwiseAND(F.lit((1 << 40) - 1))
+        each = [F.struct(bucket(k, mask).alias("bucket"), tag(k).alias("tag")) for k, (mask, _) in enumerate(keys)]
         return rows.select(F.explode(F.array(*each)).alias("e"), F.col(code).alias("code"), F.col("set").alias("other"), "key").select("e.bucket", "e.tag", "code", "other", "key")
 
-    return of(WORDS_OF, "words", texts.where(F.col("n") >= SHORT)).unionByName(of(PARITY_OF, "parity", texts.where(F.col("n") < EXACT)))
+    long, short = texts.where(F.col("n") >= SHORT), texts.where(F.col("n") < EXACT)
+    return of(WORDS_OF, "words", long).unionByName(of(AGAIN_OF, "again", long)).unionByName(of(PARITY_OF, "parity", short))
 
 
 class Bucket:
@@ -137,10 +140,9 @@ class Bucket:
 
     def __init__(self, columns, keys: list, similarity: float):
         self.tag, self.code, self.other, self.key = columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64), columns[3]
-        self.n, self.keys, self.apart = self.tag // 512, keys, (1 - similarity) / (1 + similarity)
+        self.n, self.keys, self.apart = self.tag // (FAMILIES * 256), keys, (1 - similarity) / (1 + similarity)
         self.least = similarity / (1 + similarity)
-        self.family = int(self.tag[0]) % 512 // 256
-        self.kinds = self.tag % 512  # hashes of two kinds of key may agree: then they share a bucket, but no candidates
+        self.kinds = self.tag % (FAMILIES * 256)  # hashes of two kinds of key may agree: then they share a bucket, but no candidates
 
     def candidates(self, rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows and of that are candidates; both ways if both are on either side, and none with itself."""
@@ -149,7 +151,7 @@ class Bucket:
         d, i, j = d[i, j], rows[i], of[j]
         both = self.n[i] + self.n[j]
         ok = (i != j) & (self.kinds[i] == self.kinds[j]) & (np.minimum(self.n[i], self.n[j]) >= self.least * both - 1e-6)
-        words = self.kinds[i] < 256
+        words = self.kinds[i] // 256 != PARITY_OF
         ok &= np.where(words, np.bitwise_count(self.other[i] ^ self.other[j]) <= SET_BITS, np.bitwise_count(d) <= both * self.apart + 1e-6)
         d, i, j = d[ok], i[ok], j[ok]
         own = np.zeros(len(d), bool)
@@ -316,7 +318,7 @@ def similar_components(rows: DataFrame, width: int, similarity: float) -> tuple[
     similar pairs connect, component_id is the smallest id of theirs."""
     spark = rows.sparkSession
     each = written(described(rows, width), "described")
-    numbers = ("n", "words", "set", "parity", "wide")
+    numbers = ("n", "words", "again", "set", "parity", "wide")
     texts = written(each.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in numbers)), "texts")
     keys = chain_keys(WORD_BITS, chain_length(texts.count(), WORD_BITS))
     dealt = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)

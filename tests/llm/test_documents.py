@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from _shared_docs import EDGE, edge_docs, empty_docs
@@ -90,8 +91,51 @@ def test_substring_index_is_incremental(spark):
     index = substring_index.WindowIndex(spark, width=3, buckets=2, groups=2, fanout=2)
     batch = lambda *rows: spark.createDataFrame(rows, "id long, text string")
     flagged = [sum(r.n for r in index.add(batch(*rows)).selectExpr("length(h) n").collect()) > 0 for rows in ([(9, "a b c d")], [(1, "x y z")], [(2, "b c d")], [(3, "new words here")], [(4, "x y z")])]
-    assert flagged == [False, False, True, False, True] and index.runs < 2
+    assert flagged == [False, False, True, False, True] and sorted(index.levels.values()) == [0, 2]  # five batches: one alone, four in one run
     index.close()
+    assert index.name not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_sizes_of_the_index_stay_bounded():
+    for size in (0, 10**6, 10**9, 10**11, 10**12, 10**13, 10**14):
+        buckets, batches = substring_index.plan_sizes(size)
+        assert 16 <= buckets <= 4096 and batches >= 4 and size <= buckets * batches * substring_index.MOST_BYTES + 16 * 4 * substring_index.BUCKET_BYTES
+    assert substring_index.plan_sizes(5 * 10**8) == (20, 4)
+
+
+def test_a_failed_batch_leaves_no_index(spark, monkeypatch):
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    before = tables()
+    monkeypatch.setattr(substring_index.WindowIndex, "compact", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        substring_index.dedup_substrings(spark.createDataFrame([(i, "a b c d e f") for i in range(40)], "doc_id long, text string"), width=3, buckets=2)
+    assert tables() == before
+
+
+def clashing(spark):
+    """Documents with columns that have the names operators use inside."""
+    df = spark.createDataFrame([r[:5] for r in EDGE if r[0] is not None], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for c in ("_key", "_size", "_source", "_hit", "_tokens", "_gone", "_of", "_id", "_crc", "_root", "_row", "_copy", "_set_key", "__hit", "a b"):
+        df = df.withColumn(c, F.concat(F.lit("own "), F.col("doc_id").cast("string")))
+    return df
+
+
+@pytest.mark.parametrize("op", ["mixed", "dedup", "urls", "shards"])
+def test_columns_of_any_name_pass_through(spark, op, tmp_path):
+    df = clashing(spark)
+    if op == "mixed":
+        got = mixing.mixed(df)
+    elif op == "dedup":
+        got = simhash.dedup_near_copies(df)
+    elif op == "urls":
+        got = url_rules.judge_urls(df.withColumn("url", F.lit("http://a.org/es/x")), (("org/", "block"),)).where("rule = 'org/' and verdict = 'block'").drop("host", "path", "rule", "verdict", "url")
+    else:
+        sharding.write_shards(df, str(tmp_path / "out"), shards=4)
+        got = spark.read.parquet(str(tmp_path / "out")).drop("shard")
+    assert got.columns == df.columns
+    want = {tuple(r) for r in df.collect()}
+    rows = [tuple(r) for r in got.collect()]
+    assert rows and set(rows) <= want and (op in ("mixed", "dedup") or len(rows) == len(want))
 
 
 def test_false_hash_matches_are_verified():
