@@ -4,15 +4,19 @@ The patterns find e-mail addresses, IPv4 addresses, card and phone numbers. The
 are the nodes of a field with the labels none, email, ip, card and phone. Neighbouring nodes are linked in a chain; distant nodes
 are linked if they are the same word or similar (same half of a long number, same local part of an address), each
 to the next such node, so links are as many as nodes. What the patterns found is fixed; loopy sum-product messages
-carry it along the links, and words that then have a label with enough certainty are added as spans.
+carry it along the links, and words that then have a label with enough certainty are added as spans. A text in which no pattern found
+anything is no exception.
 
-The field is trained on what the patterns find in a bounded sample: node weights by logistic regression, link weights as
-the logarithm of how much more often two labels meet on a link than by chance.
+The field is trained on a bounded sample of texts: as they are, with what the patterns find, and disguised, with the same labels: in a disguised
+text spans are written as people write them where the patterns do not see them (perturbed), some of them once more at the
+end. Node weights come by logistic regression, link weights as the logarithm of how much more often two labels meet on a link than
+by chance. Both need counts only, so all nodes and links of the sampled texts take part.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +28,8 @@ from pyspark.sql.types import StructType
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
 CHAIN, SAME, ALIKE = range(3)
-SAMPLE, SAMPLE_NODES = 3000, 500  # documents the field is trained on, and nodes of each, at most
-CERTAIN = 0.9
+SAMPLE, KINDS_OF_NODES = 3000, 50_000  # documents the field is trained on, and different nodes (features and label) that come to the driver, at most
+CERTAIN = 0.95
 FIXED = 20.0
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -185,7 +189,7 @@ class Field:
     def added(self, texts: list[str | None], bases: list) -> list[list[tuple[int, int, int]]]:
         """For each text the spans that the field adds to what the patterns found."""
         out: list[list] = [[] for _ in texts]
-        graphs = [(k, graph(t, b)) for k, (t, b) in enumerate(zip(texts, bases)) if b]  # without a fixed label nothing is carried
+        graphs = [(k, g) for k, (t, b) in enumerate(zip(texts, bases)) if t and NODE.search(t) and (g := graph(t, b)).spans]
         if not graphs:
             return out
         features = [f for _, g in graphs for f in g.features]
@@ -194,6 +198,9 @@ class Field:
         links = np.array([(a + s, b + s, kind) for (_, g), s in zip(graphs, starts.tolist()) for a, b, kind in g.links], np.int64).reshape(-1, 3)
         p = self.marginals(features, fixed, links)
         label, sure = p.argmax(1), p.max(1)
+        # repeats of a word are no independent witnesses: without a link to what a pattern found, the word must be as certain on its own
+        alone = self.marginals(features, fixed, links[:0])[np.arange(len(label)), label]
+        sure = np.where(_anchored(fixed, links), sure, np.minimum(sure, alone))
         for (k, g), s in zip(graphs, starts.tolist()):
             chained = {a for a, _, kind in g.links if kind == CHAIN}
             text, run = texts[k], None
@@ -216,18 +223,79 @@ class Field:
         return out
 
 
-def fit_field(nodes: list[list[int]], labels: np.ndarray, pairs: np.ndarray, steps: int = 200, rate: float = 0.2, decay: float = 1e-3) -> Field:
-    """nodes: features; labels: 0 or a kind + 1; pairs: (kind of link, label, label)."""
+def _anchored(fixed: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Nodes that links between the same or similar words connect to a fixed one."""
+    links = links[links[:, 2] != CHAIN]
+    on = fixed > 0
+    while len(links):
+        a, b = on[links[:, 0]], on[links[:, 1]]
+        new = a != b
+        if not new.any():
+            break
+        on[links[new, 0]] = on[links[new, 1]] = True
+        links = links[~(a & b)]
+    return on
+
+
+def perturbed(text: str, base, seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """text with some spans written so that the patterns miss them, and all spans, where they are then; of each third span a
+    second mention follows at the end. seed decides which and how."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    out, spans, end, size = [], [], 0, 0
+
+    def put(piece: str, kind: int | None = None):
+        nonlocal size
+        out.append(piece)
+        if kind is not None:
+            spans.append((size, size + len(piece), kind))
+        size += len(piece)
+
+    def disguised(x: str, kind: int) -> str:
+        digits = NOT_DIGITS.sub("", x)
+        if kind == 0:
+            local, _, domain = x.partition("@")
+            return (f"{local}@{domain.split('.')[0]}", f"{local}@{domain.replace('.', ',')}", f"{local}(@){domain}")[rng.integers(3)]
+        if kind == 1:
+            return (x.replace(".", "[.]"), ",".join(x.split(".")), "-".join(x.split(".")))[rng.integers(3)]
+        if kind == 2:
+            at = int(rng.integers(len(digits)))
+            typo = digits[:at] + str((int(digits[at]) + 1) % 10) + digits[at + 1 :]
+            return (typo, ".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), "/".join(digits[k : k + 4] for k in range(0, len(digits), 4)))[rng.integers(3)]
+        return (x.lstrip("+"), f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"00{digits}", f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}")[rng.integers(4)]
+
+    again = []
+    for a, b, kind in base:
+        if a < end:
+            continue
+        put(text[end:a])
+        x = text[a:b]
+        put(disguised(x, kind) if rng.integers(2) else x, kind)
+        if rng.integers(3) == 0:
+            again.append((disguised(x, kind), kind))
+        end = b
+    put(text[end:])
+    for x, kind in again:
+        put(" and ")
+        put(x, kind)
+    return "".join(out), spans
+
+
+def fit_field(nodes: list, labels: np.ndarray, times: np.ndarray, pairs: np.ndarray, steps: int = 300, rate: float = 0.2, decay: float = 1e-4) -> Field:
+    """nodes: features; labels: 0 or a kind + 1; times: how often each of them occurs; pairs: counts by (kind of link, label, label).
+
+    Each feature counts as seen twice more, by itself and without a label: what the sample lacks is no personal data.
+    """
+    nodes, labels, times = [*nodes, *([f] for f in range(FEATURES))], np.concatenate((labels, np.zeros(FEATURES, np.int64))), np.concatenate((times, np.full(FEATURES, 2.0)))
     sizes = [len(f) for f in nodes]
     row, flat = np.repeat(np.arange(len(sizes)), sizes), np.array([x for f in nodes for x in f], np.int64)
     w = np.zeros((FEATURES + 1, LABELS))
-    target = np.eye(LABELS)[labels]
+    target, share = np.eye(LABELS)[labels], (times / max(1, times.sum()))[:, None]
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1) if len(sizes) else ():
         z = np.repeat(w[-1:], len(sizes), 0)
         np.add.at(z, row, w[flat])
         p = np.exp(z - z.max(1, keepdims=True))
-        error = (p / p.sum(1, keepdims=True) - target) / len(sizes)
+        error = (p / p.sum(1, keepdims=True) - target) * share
         g = decay * w
         np.add.at(g, flat, error[row])
         g[-1] += error.sum(0)
@@ -235,9 +303,7 @@ def fit_field(nodes: list[list[int]], labels: np.ndarray, pairs: np.ndarray, ste
         w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
     link = np.zeros((3, LABELS, LABELS))
     for kind in range(3):
-        mine = pairs[pairs[:, 0] == kind]
-        count = np.full((LABELS, LABELS), 0.5)
-        np.add.at(count, (mine[:, 1], mine[:, 2]), 1)
+        count = pairs[kind] + 0.5
         if kind != CHAIN:  # these links have no direction
             count = (count + count.T) / 2
         p = count / count.sum()
@@ -245,29 +311,43 @@ def fit_field(nodes: list[list[int]], labels: np.ndarray, pairs: np.ndarray, ste
     return Field(w, link)
 
 
+def _counts(texts: list[str], seeds: list[int]):
+    """Of texts and their disguised forms: how often each node (features, label) occurs, and each pair of labels on a link."""
+    nodes, links = Counter(), Counter()
+    for text, seed in zip(texts, seeds):
+        base = base_spans(text)
+        for t, spans in ((text, base), perturbed(text, base, seed)) if base else ((text, base),):
+            g = graph(t, spans)
+            nodes.update((tuple(f), y) for f, y in zip(g.features, g.fixed))
+            links.update((k, g.fixed[x], g.fixed[y]) for x, y, k in g.links)
+    return nodes, links
+
+
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """A field from the sample documents with digits or an @ whose ids hash lowest, at most SAMPLE_NODES nodes of each."""
+    """A field from the sample documents with digits or an @ whose ids hash lowest; all rows of an id take part, with all their nodes.
+
+    The driver gets counts of different nodes, the KINDS_OF_NODES most frequent, and not the nodes themselves.
+    """
     text = F.col(text_col).cast("string")
     some = docs.where(F.col(id_col).isNotNull() & F.regexp_like(text, F.lit("[0-9@]"))).select(F.col(id_col).alias("_id"))
     some = some.select("_id", F.xxhash64("_id").alias("_h")).distinct().orderBy("_h", "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_of"), text.alias("text")).join(F.broadcast(some), F.col("_of") == F.col("_id")).select(F.col("_h").alias("h"), "text")
+    texts = docs.select(F.col(id_col).alias("_of"), text.alias("text")).join(F.broadcast(some), F.col("_of") == F.col("_id")).select(F.col("_h").alias("h"), "text").where("text IS NOT NULL")
 
     def run(batches):
         for b in batches:
-            features, labels, pairs = [], [], []
-            for t in b.column(1).to_pylist():
-                g = graph(t, base_spans(t))
-                n = SAMPLE_NODES
-                features.append(g.features[:n])
-                labels.append(g.fixed[:n])
-                pairs.append([[k, g.fixed[x], g.fixed[y]] for x, y, k in g.links if y < n])
-            kinds = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((b.column(0).to_pylist(), features, labels, pairs), kinds)], ["h", "features", "labels", "pairs"])
-
-    got = texts.mapInArrow(run, "h long, features array<array<int>>, labels array<int>, pairs array<array<int>>").toArrow().sort_by("h").to_pydict()
-    nodes = [f for x in got["features"] for f in x]
-    pairs = np.array([p for x in got["pairs"] for p in x], np.int64).reshape(-1, 3)
-    return fit_field(nodes, np.array([y for x in got["labels"] for y in x], np.int64), pairs)
+            nodes, links = _counts(b.column(1).to_pylist(), [h & (1 << 63) - 1 for h in b.column(0).to_pylist()])
+            rows = [(list(f), y, -1, n) for (f, y), n in nodes.items()] + [([k], x, y, n) for (k, x, y), n in links.items()]
+            kinds = (pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 4, kinds)], ["features", "x", "y", "n"])
+
+    got = texts.mapInArrow(run, "features array<int>, x int, y int, n long").groupBy("features", "x", "y").agg(F.sum("n").alias("n"))
+    got = got.orderBy(F.col("y") < 0, F.desc("n"), "features", "x", "y").limit(KINDS_OF_NODES + 3 * LABELS**2).collect()
+    pairs = np.zeros((3, LABELS, LABELS))
+    for r in got:
+        if r["y"] >= 0:
+            pairs[r["features"][0], r["x"], r["y"]] = r["n"]
+    nodes = [r for r in got if r["y"] < 0]
+    return fit_field([r["features"] for r in nodes], np.array([r["x"] for r in nodes], np.int64), np.array([r["n"] for r in nodes], float), pairs)
 
 
 def redacted(text: str | None, spans) -> str | None:
