@@ -1,8 +1,8 @@
 """Quality classification by co-training of two views of a page.
 
 The content view looks at the words of the text: hashed words, their shapes (runs of letters, digits and other characters
-as one sign each), and repeats. The metadata view looks at the page's source, language and length, and at statistics
-of its layout. Both are logistic regressions. In every round each view labels the pages of an unlabelled pool that it
+as one sign each), and repeats. The metadata view looks at the page's source, language and length, and, unless it is told not to, at statistics
+of its layout (lines, sizes, shares of kinds of characters), but at no word. Both are logistic regressions. In every round each view labels the pages of an unlabelled pool that it
 is most sure of, in the proportion of the classes, and hands them to the other view to learn from. In the end each
 view is calibrated on labelled pages that neither has seen, and all documents get the combined log-odds of both.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from ._words import SPACE, Words, slices
@@ -27,7 +28,7 @@ SOURCES, LANGS, BINS = 64, 16, 12
 STATS = 10
 META = SOURCES + LANGS + STATS * BINS
 STEP = 1 << 21  # bytes of text that are worked on at a time
-LABELLED, POOL = 4000, 4000  # bounds of the samples that the views are trained on; all documents are scored
+LABELLED, POOL = 6000, 6000  # bounds of the samples that the views are trained on; all documents are scored
 FOLDS = (0.7, 1.0)  # of the labelled sample, what is learnt from; the rest calibrates
 
 LOWER_, UPPER_, DIGIT_ = 1, 2, 3
@@ -150,6 +151,7 @@ class CoTrained:
     edges: np.ndarray
     scales: tuple[tuple[float, float], tuple[float, float]]
     weights: tuple[float, float, float]
+    layout: bool = True
 
     def views(self, texts: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated log-odds of good quality by content and by metadata."""
@@ -157,21 +159,22 @@ class CoTrained:
         words = np.maximum(np.bincount(row[number < WORDS], minlength=len(texts)), 1)
         a = np.bincount(row, self.content[number], len(texts)) * SCALE / words + self.content[-1]
         buckets, stats = metadata_numbers(texts, source, lang, n_chars)
-        b = meta_features(buckets, stats, self.edges).dot(self.meta) + self.meta[-1]
+        b = meta_features(buckets, stats, self.edges, self.layout).dot(self.meta) + self.meta[-1]
         return tuple(s * z + t for z, (s, t) in zip((a, b), self.scales))
 
     def combined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.weights[0] * a + self.weights[1] * b + self.weights[2]
 
 
-def meta_features(buckets: np.ndarray, stats: np.ndarray, edges: np.ndarray) -> Sparse:
+def meta_features(buckets: np.ndarray, stats: np.ndarray, edges: np.ndarray, layout: bool = True) -> Sparse:
+    """The numbers of source, language and the bins of length and of the other statistics, if layout."""
     n = len(buckets)
     bins = np.stack([np.searchsorted(edges[k], stats[:, k], "right") for k in range(STATS)], 1) + SOURCES + LANGS + BINS * np.arange(STATS)
-    number = np.concatenate((buckets[:, :1], SOURCES + buckets[:, 1:], bins), 1)
+    number = np.concatenate((buckets[:, :1], SOURCES + buckets[:, 1:], bins if layout else bins[:, :1]), 1)
     return Sparse(np.repeat(np.arange(n), number.shape[1]), number.reshape(-1), np.ones(number.size), n)
 
 
-def co_train(content: Sparse, buckets: np.ndarray, stats: np.ndarray, y: np.ndarray, rounds: int = 4, share: float = 0.1, sure: float = 0.9) -> CoTrained | None:
+def co_train(content: Sparse, buckets: np.ndarray, stats: np.ndarray, y: np.ndarray, rounds: int = 4, share: float = 0.1, sure: float = 0.9, layout: bool = True) -> CoTrained | None:
     """y: 1 good, 0 poor, -1 unlabelled, in an order that is random in itself. In each round a view hands over at most share of the pool.
 
     None if the part to learn from or the part to calibrate on lacks a class.
@@ -181,7 +184,7 @@ def co_train(content: Sparse, buckets: np.ndarray, stats: np.ndarray, y: np.ndar
     if min(len(set(y[learn])), len(set(y[held]))) < 2:
         return None
     edges = np.quantile(stats[y < 0] if (y < 0).sum() > BINS else stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    meta = meta_features(buckets, stats, edges)
+    meta = meta_features(buckets, stats, edges, layout)
     views, dims = (content, meta), (DIM, META)
     pool, prior = y < 0, y[learn].mean()
     sets = [(learn, y[learn].astype(float)) for _ in views]
@@ -209,7 +212,7 @@ def co_train(content: Sparse, buckets: np.ndarray, stats: np.ndarray, y: np.ndar
         scales.append(tuple(_fit_dense(z[:, None], y[held], [1.0, 0.0]).tolist()))
         calibrated.append(scales[-1][0] * z + scales[-1][1])
     both = _fit_dense(np.stack(calibrated, 1), y[held], [0.5, 0.5, 0.0])
-    return CoTrained(weights[0], weights[1], edges, tuple(scales), tuple(both.tolist()))
+    return CoTrained(weights[0], weights[1], edges, tuple(scales), tuple(both.tolist()), layout)
 
 
 def _fit_dense(x: np.ndarray, y: np.ndarray, start: list[float]) -> np.ndarray:
@@ -246,11 +249,12 @@ def _columns(docs: DataFrame) -> list:
     return [has("text", "string").alias("text"), has("source", "string").alias("source"), has("lang", "string").alias("lang"), has("n_chars", "long").alias("n_chars")]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL, rounds: int = 4) -> CoTrained | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL, rounds: int = 4, layout: bool = True) -> CoTrained | None:
     """Co-trained views from at most labelled rows with labels and pool rows without, those whose ids hash lowest.
 
-    A document with several labels counts as good if at least half of them are; null labels and ids are left out. None without
-    labels of both classes.
+    A document with several labels counts as good if at least half of them are; null labels and ids are left out; of several rows of
+    one id one is learnt from, so the samples are bounded whatever repeats. None without labels of both classes. layout: whether the metadata view
+    has statistics of the layout besides source, language and length.
     """
     judged = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("q"))
     ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
@@ -259,9 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     rest = ids.join(judged, "id", "left_anti").select("id", h, F.lit(-1).alias("y")).distinct().orderBy("h", "id").limit(pool)
     chosen = F.broadcast(known.unionByName(rest))  # at most labelled + pool rows
     sample = docs.select(F.col(id_col).alias("of"), *_columns(docs)).join(chosen, F.col("of") == F.col("id"))
-    sample = sample.select("h", "y", "text", "source", "lang", "n_chars")
+    first = F.row_number().over(W.partitionBy("h", "id").orderBy(F.xxhash64("text", "source", "lang", "n_chars")))
+    sample = sample.withColumn("nth", first).where("nth = 1").select("h", "y", "text", "source", "lang", "n_chars")
     y, buckets, stats, content = _sample_features(sample)
-    return co_train(content, buckets, stats, y, rounds) if len(y) else None
+    return co_train(content, buckets, stats, y, rounds, layout=layout) if len(y) else None
 
 
 def classify(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
