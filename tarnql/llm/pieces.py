@@ -30,8 +30,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values
 UNIGRAM, BPE = 1, 2
 PENALTY = 10.0  # fixed value of the format: an unknown character scores this much less than the worst piece
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BATCHED = 48  # longer words are rare and go one by one
-CACHED = 200_000  # words whose ids a worker remembers at most
+BATCHED = 48  # longer words go one by one, all their positions at once
+CACHED = 48 << 20  # bytes of words and ids that a worker remembers at most, about
+CACHED_PAIRS = 800_000
+EACH = 250  # bytes that a remembered word takes besides its characters and ids
 PLACES = 20  # bits of the tables that hashes point into
 STRANGE = 1 << 24  # token numbers from here on stand for single characters that are no piece
 
@@ -109,6 +111,7 @@ class Pieces:
             alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
             self.cut = re.compile(rf" *[^ {alone}]+| +" + (rf"|[{alone}]" if alone else ""))
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.pairs: dict[int, bool] = {}
         self.out = [self._bytes_of(i) for i in range(len(self.pieces))]
 
@@ -217,23 +220,47 @@ class Pieces:
         first = (n - count) * 4
         return [self._packed(path[r, n - count[r] :].tolist()) if strange[r] else flat[r * width + f : (r + 1) * width] for r, f in enumerate(first.tolist())]
 
+    def _hits(self, word: str) -> tuple[list[int], list[int], list[int]]:
+        """All pieces in a word: where they end (ascending, longer ones first), their lengths and ids. Each length probes all positions at once."""
+        each = mix(self._codes([word])[0].astype(np.uint64) + np.uint64(1))
+        h, found = np.zeros(len(word) + 1, np.uint64), []
+        for size in range(1, min(self.longest, len(word)) + 1):
+            h = h[: len(word) - size + 1] * BASE + each[size - 1 :]
+            keys = mix(h + np.uint64(size))
+            at = np.flatnonzero(self.maybe[keys >> np.uint64(64 - PLACES)])
+            place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            hit = self.keys[place] == keys[at]
+            found.append((at[hit] + size, np.full(hit.sum(), size), self.ids[place[hit]]))
+        end, size, token = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-size, end))
+        return end[order].tolist(), size[order].tolist(), token[order].tolist()
+
     def _tokens_of_one(self, word: str) -> list[int]:
-        """As _tokens, for one word of any length."""
+        """The tokens of one word of any length."""
         n = len(word)
         best, token, length = [0.0] + [-np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        ends, sizes, ids = self._hits(word)
+        bpe, at, known = self.kind == BPE, 0, len(ends)
         for j in range(1, n + 1):
-            for size in range(1, min(j, self.longest) + 1):
-                t = self.by_text.get(word[j - size : j])
-                if t is None:
-                    if size > 1:
-                        continue
-                    t = STRANGE + ord(word[j - 1])
-                if self.kind == BPE:
-                    reach = 0.0 if best[j - size] == 0.0 and self._follows(token[j - size], t) else -np.inf
+            single = False
+            while at <= known:
+                if at < known and ends[at] == j:
+                    size, t = sizes[at], ids[at]
+                    single = single or size == 1
+                elif not single:
+                    size, t, single = 1, STRANGE + ord(word[j - 1]), True
+                    at -= 1
+                else:
+                    break
+                at += 1
+                before = best[j - size]
+                if bpe:
+                    if before == 0.0 and best[j] != 0.0 and self._follows(token[j - size], t):
+                        best[j], token[j], length[j] = 0.0, t, size
                 else:
-                    reach = best[j - size] + (self.scores[t] if t < STRANGE else self.worst)
-                if reach > best[j]:
-                    best[j], token[j], length[j] = reach, t, size
+                    reach = before + (self.scores[t] if t < STRANGE else self.worst)
+                    if reach > best[j]:
+                        best[j], token[j], length[j] = reach, t, size
         out = []
         while n:
             out.append(token[n])
@@ -251,33 +278,40 @@ class Pieces:
                 ids.append(self.unknown)
         return np.array(ids, np.int32).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
+        out: dict[str, bytes] = {}
         for n, same in by_length.items():
             same.sort()
             shown = [w.replace(" ", SPACE) for w in same]
-            if n <= BATCHED and len(same) > 3:
-                found = [x for k in range(0, len(shown), 1 << 13) for x in self._packed_ids(shown[k : k + (1 << 13)])]
+            if n <= BATCHED:
+                found = (x for k in range(0, len(shown), 1 << 13) for x in self._packed_ids(shown[k : k + (1 << 13)]))
             else:
                 found = (self._packed(self._tokens_of_one(w)) for w in shown)
-            self.known.update(zip(same, found))
+            out.update(zip(same, found))
+        return out
 
     def encode_packed(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, four bytes an id."""
-        if len(self.known) > CACHED:
+        """Ids of each text, four bytes an id. Words of up to BATCHED characters are remembered, in CACHED bytes."""
+        if self.held > CACHED:
             self.known.clear()
-        if len(self.pairs) > 4 * CACHED:
+            self.held = 0
+        if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
             self.pair_keys[:] = -1
         cut = []
         for t in texts:
             t = t.replace(SPACE, " ") if t else ""
             cut.append(self.cut.findall(" " + t if self.prefix and t else t))
-        self._learn({w for words in cut for w in words if w not in self.known})
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        known = self.known
+        fresh = self._ids_of({w for words in cut for w in words if w not in known})
+        for w, ids in fresh.items():
+            if len(w) <= BATCHED:
+                known[w] = ids
+                self.held += EACH + 4 * len(w) + len(ids)
+        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], np.int32).tolist()
