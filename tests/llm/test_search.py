@@ -44,6 +44,31 @@ def test_large_numbers(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(-k, hold(s)) for s, k in want]
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_cells_are_left_out_by_their_bounds(spark, monkeypatch, grouped):
+    """Exact with many cells; on grouped vectors queries go to few of them."""
+    from tarnql.llm import topk_search
+
+    monkeypatch.setattr(topk_search, "CELL", 32)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 32))
+    if grouped:
+        levels = np.repeat(3 * rng.normal(size=(40, 4)), 8, axis=1)
+        x = levels[rng.integers(0, 40, 2000)] + 0.1 * x
+    x = x.astype(np.float32)
+    report: dict = {}
+    got = top_k_inner(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4), report=report)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()}
+    ints = np.floor(256 * x.astype(float)).astype(np.int64)
+    want = set()
+    for q in range(0, 2000, 50):
+        score = sorted((-int(s), v) for v, s in enumerate(ints @ ints[q]) if v != q)[:5]
+        want |= {(q, k, v, -s) for k, (s, v) in enumerate(score, 1)}
+    assert got == want and report["cells"] > 30
+    if grouped:
+        assert report["pairs"] < 0.5 * report["cells"] * report["queries"]
+
+
 def test_features_bound_inner_products():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(20, 30)), rng.normal(size=(30, 30))
