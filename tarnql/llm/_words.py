@@ -78,6 +78,50 @@ class Words:
         return at, mix(h[at])
 
 
+def lean(run):
+    """A function of Arrow batches that leaves a reused worker small: what large arrays took goes back to the system at once, the rest at the end."""
+
+    def wrapped(batches):
+        small_steps()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def small_steps() -> None:
+    """From now on arrays of a megabyte are taken from the system one by one; else that bound grows with the largest array there has been."""
+    libc = _libc()
+    if libc is not None:
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+def give_back() -> None:
+    """Returns unused memory to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
+def _libc():
+    """The C library, if it is one with these two functions."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if libc.mallopt and libc.malloc_trim else None
+    except (AttributeError, OSError):
+        return None
+
+
+def binaries(column: pa.Array) -> list[np.ndarray]:
+    """The values of a binary column without nulls as views of its bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return [data[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def slices(batch: pa.RecordBatch, column: int, step: int):
     """A batch in slices of whole rows with about step bytes of text in a column, so that arrays made of them stay small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
-from ._words import SPACE, Words, slices
+from ._words import SPACE, Words, give_back, lean, slices, small_steps
 
 WORDS, SHAPES = 1 << 13, 1 << 9
 DIM = WORDS + SHAPES + 1  # the last feature: a word that repeats the one before
@@ -27,7 +27,7 @@ SCALE = 30.0
 SOURCES, LANGS, BINS = 64, 16, 12
 STATS = 10
 META = SOURCES + LANGS + STATS * BINS
-STEP = 1 << 21  # bytes of text that are worked on at a time
+STEP = 1 << 20  # bytes of text that are worked on at a time
 LABELLED, POOL = 6000, 6000  # bounds of the samples that the views are trained on; all documents are scored
 FOLDS = (0.7, 1.0)  # of the labelled sample, what is learnt from; the rest calibrates
 
@@ -236,12 +236,12 @@ def _sample_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(number.astype(np.int32)), lists((count * SCALE / words[row]).astype(np.float32)), nested(buckets, pa.int32()), nested(stats, pa.float64())], ["h", "y", "number", "value", "buckets", "stats"])
 
     schema = "h long, y int, number array<int>, value array<float>, buckets array<int>, stats array<double>"
-    got = rows.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("h")
+    got = rows.mapInArrow(lean(run), schema).toArrow().combine_chunks().sort_by("h")
     n = got.num_rows
     parts = {c: got[c].combine_chunks() for c in got.column_names}
     sizes = pc.list_value_length(got["number"]).to_numpy().astype(np.int64)
     flat = lambda c: pc.list_flatten(parts[c]).to_numpy()
-    return got["y"].to_numpy(), flat("buckets").reshape(n, 2).astype(np.int64), flat("stats").reshape(n, STATS), Sparse(np.repeat(np.arange(n), sizes), flat("number").astype(np.int64), flat("value").astype(np.float64), n)
+    return got["y"].to_numpy(), flat("buckets").reshape(n, 2).astype(np.int64), flat("stats").reshape(n, STATS), Sparse(np.repeat(np.arange(n, dtype=np.int32), sizes), flat("number").astype(np.int32), flat("value").astype(np.float32), n)
 
 
 def _columns(docs: DataFrame) -> list:
@@ -265,8 +265,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     sample = docs.select(F.col(id_col).alias("of"), *_columns(docs)).join(chosen, F.col("of") == F.col("id"))
     first = F.row_number().over(W.partitionBy("h", "id").orderBy(F.xxhash64("text", "source", "lang", "n_chars")))
     sample = sample.withColumn("nth", first).where("nth = 1").select("h", "y", "text", "source", "lang", "n_chars")
+    small_steps()
     y, buckets, stats, content = _sample_features(sample)
-    return co_train(content, buckets, stats, y, rounds, layout=layout) if len(y) else None
+    give_back()
+    model = co_train(content, buckets, stats, y, rounds, layout=layout) if len(y) else None
+    del y, buckets, stats, content
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
@@ -293,4 +298,4 @@ def classify(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -
     for c in out[:3]:
         schema.add(c, "double")
     view = docs.select(*docs.columns, *[c.alias(f"_view{k}") for k, c in enumerate(_columns(docs))])
-    return view.mapInArrow(run, schema.add("keep", "boolean"))
+    return view.mapInArrow(lean(run), schema.add("keep", "boolean"))

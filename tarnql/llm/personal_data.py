@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ._words import lean, slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
 CHAIN, SAME, ALIKE = range(3)
 SAMPLE, KINDS_OF_NODES = 3000, 50_000  # documents the field is trained on, and different nodes (features and label) that come to the driver, at most
 CERTAIN = 0.95
 FIXED = 20.0
+STEP = 1 << 22  # bytes of text that are worked on at a time
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -377,7 +380,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str
     names = [*docs.columns, *new]
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, at, STEP)):
             texts = b.column(at).cast(pa.string()).to_pylist()
             bases = [base_spans(t) for t in texts]
             spans = [sorted(x + y, key=lambda s: (s[0], s[2])) if y else x for x, y in zip(bases, shared.value.added(texts, bases))]
@@ -390,4 +393,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str
     schema = StructType(list(docs.schema.fields))
     for c in new:
         schema.add(c, "long" if c.startswith("n_") else "string")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from ._words import mix, slices
+from ._words import lean, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
     def run(batches):
         pieces = loaded(model.value)
         for batch in batches:
-            for b in slices(batch, at, 1 << 22):
+            for b in slices(batch, at, 1 << 21):
                 texts = b.column(at).cast(pa.string()).to_pylist()
                 packed = pieces.encode_packed(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
@@ -361,7 +361,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
     schema = StructType(list(docs.schema.fields)).add(ids_col, ArrayType(IntegerType()))
-    return docs.mapInArrow(run, schema.add(check, "boolean") if check else schema)
+    return docs.mapInArrow(lean(run), schema.add(check, "boolean") if check else schema)
 
 
 def decode(rows: DataFrame, model_path: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

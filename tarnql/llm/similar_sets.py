@@ -25,13 +25,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ._graph import connected_components
 from ._pigeonring import buckets, chain_keys, chain_length, first_meeting, signed
 from ._shared import forget, release_shuffles, written
-from ._words import Words, slices
+from ._words import Words, binaries, lean, slices
 
-STEP = 1 << 21  # bytes of text that are worked on at a time
+STEP = 1 << 20  # bytes of text that are worked on at a time
 WORD_BITS, SET_BITS = 9, 20
 EXACT, SHORT = 50, 40  # sets of fewer shingles than EXACT have exact fingerprints, of fewer than SHORT no others
 WIDE = 256  # bytes of parities that a set of SHORT shingles or more has besides
-FEW, GROWTH = 4, 16  # candidates that a member is verified against at once; by how much centres grow
+FEW, GROWTH = 4, 64  # candidates that a member is verified against at once; by how much centres grow
 BITS_AT_ONCE = 1 << 14
 ROWS, WHOLE = 512, 8192  # members that are compared at a time; larger buckets have centres only
 BROADCAST_IDS = 400_000  # ids of eight bytes; more are joined by exchange
@@ -95,7 +95,7 @@ def with_set_key(docs: DataFrame, text_col: str, width: int, name: str) -> DataF
         for b in (x for batch in batches for x in slices(batch, at, STEP)):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(set_keys(*shingle_sets(b.column(at), width)))], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def described(rows: DataFrame, width: int) -> DataFrame:
@@ -119,7 +119,7 @@ def described(rows: DataFrame, width: int) -> DataFrame:
             numbers = [x.view(np.int64) for x in (*(majorities(*_distinct(w.doc, w.hashes(k), len(n))) for k in (0, 1)), majorities(h, first), parity)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_keys(h, first)), pa.array(n.astype(np.int32)), *map(pa.array, numbers), wide], ["id", "key", "n", "words", "again", "set", "parity", "wide"])
 
-    return rows.mapInArrow(run, "id long, key long, n int, words long, again long, set long, parity long, wide binary")
+    return rows.mapInArrow(lean(run), "id long, key long, n int, words long, again long, set long, parity long, wide binary")
 
 
 def entries(texts: DataFrame, keys: list) -> DataFrame:
@@ -183,11 +183,6 @@ def _first_round(keys: list, similarity: float):
                 pairs.append((i[now], j[now]))
             dense = np.flatnonzero(degree > FEW)
         order = bucket.central(dense) if len(dense) else dense
-        left = order
-        while len(left) > 1:
-            _, near = bucket.candidates(left[:1], left[1:])
-            pairs.append((np.full(len(near), left[0]), near))
-            left = left[1:][~np.isin(left[1:], near)]
         i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (every[:0], every[:0])
         return bucket.key[i], bucket.key[j], [x[order] for x in (h, *columns)], np.arange(len(order))
 
@@ -230,21 +225,23 @@ def _later_round(keys: list, similarity: float, lo: int, hi: int):
         if len(names) < 2:
             return none
         bucket = Bucket((tag, code, other, key), keys, similarity)
+        has, bits = np.array([len(x) > 0 for x in wide]), np.zeros((len(key), WIDE // 8), np.uint64)
+        bits[has] = np.frombuffer(b"".join(wide.tolist()), np.uint64).reshape(-1, WIDE // 8)
         most = np.bincount(which).argmax()
         some = np.flatnonzero(which != most)  # of candidates in different components one at least is among these
         every, pairs, open_ = np.arange(len(key)), [], np.zeros(len(key), bool)
         for a in range(0, len(some), ROWS):
             i, j = bucket.candidates(some[a : a + ROWS], every)
-            ok = (label[i] != label[j]) & (np.maximum(at[i], at[j]) >= lo)
+            ok = (label[i] != label[j]) & (np.minimum(at[i], at[j]) >= lo)
             i, j = i[ok], j[ok]
-            first = np.minimum(at[i], at[j])
-            now, later = (first >= lo) & (first < hi), first >= hi
-            far = np.ones(len(i), bool)
-            check = np.flatnonzero(now)
-            far[check] = [x and y and (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() > m for x, y, m in zip(wide[i[check]], wide[j[check]], ((bucket.n[i[check]] + bucket.n[j[check]]) * bucket.apart + 1e-6).tolist())]
-            pairs.append((i[now & ~far], j[now & ~far]))
-            open_[i[later]] = open_[j[later]] = True
-        i, j = (np.concatenate(x) for x in zip(*pairs))
+            for c in range(0, len(i), 1 << 14):  # what so many parities show to be too far apart is settled
+                x, y = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
+                far = has[x] & has[y] & (np.bitwise_count(bits[x] ^ bits[y]).sum(1) > (bucket.n[x] + bucket.n[y]) * bucket.apart + 1e-6)
+                x, y = x[~far], y[~far]
+                now = np.minimum(at[x], at[y]) < hi
+                pairs.append((x[now], y[now]))
+                open_[x[~now]] = open_[y[~now]] = True
+        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (every[:0], every[:0])
         once = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         kept = np.flatnonzero(open_)
         return key[once[:, 0]], key[once[:, 1]], [x[kept] for x in (h, tag, code, other, key)], at[kept]
@@ -271,13 +268,13 @@ def _sets(width: int):
 
 def _similar(similarity: float):
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 2, 1 << 23)):
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(binaries(b.column(2)), binaries(b.column(3))):
+                x, y = x.view(np.uint64), y.view(np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -300,15 +297,15 @@ def verified(rows: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, si
     release_shuffles(rows.sparkSession)
     side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
-    near = written(both.mapInArrow(_not_far(similarity), "a long, b long"), "near-enough")
+    near = written(both.mapInArrow(lean(_not_far(similarity)), "a long, b long"), "near-enough")
     keys = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = written(texts.join(keys, "key").select(F.col("least").alias("member")).distinct(), "members")
     some = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    sets = rows.join(some, rows.id == F.col("member")).select("id", "text").mapInArrow(_sets(width), "key long, runs binary")
+    sets = rows.join(some, rows.id == F.col("member")).select("id", "text").mapInArrow(lean(_sets(width)), "key long, runs binary")
     sets = sets.dropDuplicates(["key"])  # not written: both sides of the join read the one exchange
     side = lambda c: sets.select(F.col("key").alias(c), F.col("runs").alias(f"runs_{c}"))
     both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "runs_a", "runs_b")
-    similar = written(both.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    similar = written(both.mapInArrow(lean(_similar(similarity)), "a long, b long"), "similar")
     forget(near, members)
     return similar
 
@@ -324,8 +321,8 @@ def similar_components(rows: DataFrame, width: int, similarity: float) -> tuple[
     dealt = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)
     found = f"{ENTRY}, at int, a long, b long"
     fields = [c.split()[0] for c in ENTRY.split(", ")]
-    now = written(dealt(entries(texts, keys), "key").mapInArrow(_first_round(keys, similarity), found), "candidates")
-    links, lo, hi = None, 0, GROWTH
+    now = written(dealt(entries(texts, keys), "key").mapInArrow(lean(_first_round(keys, similarity)), found), "candidates")
+    links, lo, hi = None, 0, 1
     while True:
         more = verified(rows, texts, now.where("a is not null").select("a", "b").distinct(), width, similarity)
         links = more if links is None else links.unionByName(more)
@@ -335,7 +332,7 @@ def similar_components(rows: DataFrame, width: int, similarity: float) -> tuple[
             break
         labelled = dense.join(comp, dense.key == comp.node, "left").select(*fields, "at", F.coalesce("root", "key").alias("label"))
         labelled = labelled.join(texts.select("key", "wide"), "key").select(*fields, "at", "label", "wide")
-        later = written(dealt(labelled, "at").mapInArrow(_later_round(keys, similarity, lo, hi), found), "candidates")
+        later = written(dealt(labelled, "at").mapInArrow(lean(_later_round(keys, similarity, lo, hi)), found), "candidates")
         forget(now, comp)
         now, lo, hi = later, hi, hi * GROWTH
     forget(now)
