@@ -307,11 +307,14 @@ class Pieces:
             cut.append(self.cut.findall(" " + t if self.prefix and t else t))
         known = self.known
         fresh = self._ids_of({w for words in cut for w in words if w not in known})
+        known |= fresh
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for w, ids in fresh.items():
             if len(w) <= BATCHED:
-                known[w] = ids
                 self.held += EACH + 4 * len(w) + len(ids)
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
+            else:
+                del known[w]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], np.int32).tolist()
