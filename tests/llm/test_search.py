@@ -153,6 +153,68 @@ def test_recall_in_groups_and_hot_buckets(spark, monkeypatch):
     assert recall(spark, x) >= 0.9
 
 
+def test_rows_do_not_grow_with_near_copies_of_queries(spark, monkeypatch):
+    """A quarter or all of the vectors lie so close together that bytes do not tell them apart; some are multiples of others."""
+    from tarnql.llm import cross_polytope
+
+    made, bounds = [], cross_polytope._bounds
+    monkeypatch.setattr(cross_polytope, "_bounds", lambda *a: made.append(bounds(*a)) or made[-1])
+    monkeypatch.setattr(cross_polytope, "CELL", 512)
+    rng = np.random.default_rng(4)
+    rows = []
+    for share in (4, 1):
+        x = rng.normal(size=(4000, 64))
+        x[::share] = x[0] + 0.1 * rng.normal(size=(4000 // share, 64))
+        x[4:2000:40] = x[0] * (1 + np.arange(50)[:, None])
+        x = x.astype(np.float32).astype(float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        found: dict = {}
+        for r in nearest_cosine(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+            found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        rows.append(made[-2].count())  # the last one is of queries that found too few
+        hits = 0
+        for q in range(0, 4000, 100):
+            score = unit @ unit[q]
+            score[q] = -2
+            assert all(abs(s - score[v]) < 1e-12 for v, s in found[q].values()) and sorted(found[q]) == [1, 2, 3, 4, 5]
+            hits += sum(s >= np.sort(score)[-5] - 1e-12 for _, s in found[q].values())
+        assert hits >= 0.98 * 200
+    assert rows[0] < 100_000 and rows[1] < 200_000  # 425,624 and 3,199,200 when each candidate was a pair
+
+
+def test_a_crowd_is_ranked_exactly():
+    """All of a bucket's vectors that bytes do not tell apart are named, and ranked by their cosine, a repeated id once."""
+    import pyarrow as pa
+
+    from tarnql.llm import cross_polytope
+
+    rng = np.random.default_rng(6)
+    x = np.ones(16) + 1e-4 * rng.normal(size=(300, 16))
+    ids = np.concatenate((np.arange(290), np.full(10, 7)))
+    unit = cross_polytope.units(x)
+    scale = np.abs(unit).max(1) / 127
+    c = np.rint(unit / scale[:, None]).astype(np.int8)
+    err = np.linalg.norm(unit - c * scale[:, None], axis=1)
+    home = np.arange(300) % 3
+    cell = pa.table({"id": ids, "dim": pa.array([16] * 300, pa.int32()), "bucket": pa.array([5] * 300, pa.int64()), "home": home, "c": [r.tobytes() for r in c], "scale": scale, "err": err})
+    queries = pa.table({"id": ids[:20], "dim": pa.array([16] * 20, pa.int32()), "v": [r.tobytes() for r in unit[:20].astype(np.float32)], "buckets": pa.array([[5, 6]] * 20, pa.list_(pa.int64()))})
+    got = cross_polytope._bounded(5)(queries, cell).to_pylist()
+    pairs, asked, crowd = ([r for r in got if (r["query_id"] is None, r["vec_id"] is None) == kind] for kind in ((False, False), (False, True), (True, False)))
+    assert len(pairs) == 5 * 20 and {(r["query_id"], r["home"]) for r in asked} == {(q, h) for q in range(20) for h in range(3)} and len(asked) == 60
+    assert {(r["query_id"], r["vec_id"]) for r in pairs} | {(q, r["vec_id"]) for q in range(20) for r in crowd} >= {(q, v) for q in range(20) for v in range(290) if v != q}
+    assert len(crowd) <= 300 and {(r["vec_id"], r["home"]) for r in crowd} <= set(zip(ids.tolist(), home.tolist()))
+
+    asked, crowd = pa.table({"query_id": ids[:20], "q": [r.tobytes() for r in x[:20]]}), pa.table({"vec_id": ids, "v": [r.tobytes() for r in x]})
+    ranked = cross_polytope._ranked(5)(asked, crowd).to_pylist()
+    for q in range(20):
+        best: dict = {}
+        for v, s in zip(ids.tolist(), cross_polytope.cosine_rows(x[q], x).tolist()):
+            if v != q:
+                best[v] = max(best.get(v, -2), s)
+        want = sorted(((-s, v) for v, s in best.items()))[:5]
+        assert [(-r["score"], r["vec_id"]) for r in ranked if r["query_id"] == q] == want
+
+
 @pytest.mark.parametrize("n", [2, 4, 6])
 def test_few_vectors_are_all_found(spark, n):
     x = np.random.default_rng(n).normal(size=(n, 64))
